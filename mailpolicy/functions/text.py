@@ -15,9 +15,15 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 
 
-def tokens(col: Column) -> Column:
-    """Split on runs of whitespace; blank text gives one empty token."""
-    return F.split(strip(col), f"[{WHITESPACE}]+")
+def spaced(col: Column) -> Column:
+    """Every whitespace character as a space. Lines of printable ASCII, nearly all, pass after one cheap look."""
+    unusual = F.rlike(col, F.lit(r"[^\x20-\x7e]"))
+    return F.when(unusual, F.translate(col, WHITESPACE, " " * len(WHITESPACE))).otherwise(col)
+
+
+def tokens(col: Column, without: list[str] | None = None) -> Column:
+    """Tokens between runs of whitespace; ``without`` leaves out some words."""
+    return F.filter(F.split(spaced(col), " "), lambda t: ~t.isin("", *(without or [])))
 
 
 def select_once(df: DataFrame, **columns: Column) -> DataFrame:

@@ -72,8 +72,8 @@ def _running_sums(hist: DataFrame, by: list[str], measures: list[str], descendin
         return F.coalesce(F.sum(m).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
     sums = [F.sum(m).alias(m) for m in measures]
-    values = hist.withColumn("_block", F.shiftright("value", _BLOCK_BITS))
-    blocks = values.groupBy(*by, "_block").agg(*sums).withColumn("_super", F.shiftright("_block", _BLOCK_BITS))
+    values = hist.withColumn("_block", _shifted("value"))
+    blocks = values.groupBy(*by, "_block").agg(*sums).withColumn("_super", _shifted("_block"))
     supers = blocks.groupBy(*by, "_super").agg(*sums)
 
     # each level only needs what the levels above it held before
@@ -102,6 +102,12 @@ def _running_sums(hist: DataFrame, by: list[str], measures: list[str], descendin
     )
 
 
+def _shifted(column: str) -> Column:
+    """Number of the block a value is in. The join on it would put a not-null filter on a nullable column below the
+    histogram, in one of its branches only, and the branches could no longer share one scan."""
+    return F.coalesce(F.shiftright(column, _BLOCK_BITS), F.lit(0).cast("bigint"))
+
+
 def include_totals(counts: DataFrame, mode: str = STRICT) -> DataFrame:
     """``domain, n``, one row per include target (Q16).
 

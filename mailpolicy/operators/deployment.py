@@ -23,7 +23,7 @@ def summary(spf: DataFrame, mx: DataFrame, mode: str = STRICT, zones: list[str]
 
     Both sides are brought to one row per name before they meet. In reference mode, where each pair of a name's lines
     and each policy counts (Q4, Q5), the row holds sums and the number of MX lines multiplies them, so no pair is ever
-    formed; in strict mode a name counts once. ``zones`` limits the top-level domains before anything is shuffled.
+    formed; in strict mode a name counts once and ``multiple_policies`` is added. ``zones`` limits the top-level domains before anything is shuffled.
     """
     if zones is not None:
         spf, mx = (df.where(tld(F.col("name")).isin(*zones)) for df in (spf, mx))
@@ -32,15 +32,19 @@ def summary(spf: DataFrame, mx: DataFrame, mode: str = STRICT, zones: list[str]
         metrics = METRICS
         policies = per_policy.groupBy(*_KEY).agg(*[F.count_if(m).alias(m) for m in metrics])
         names = mx.groupBy(*_KEY).agg(F.count("*").alias("copies"))
+        counts = {m: F.expr(f"sum({m} * copies)") for m in metrics}
     else:
+        # a name either has a metric or not: one bit each keeps the shuffled row short
         metrics = [*METRICS, _MULTIPLE]
         per_policy = per_policy.withColumn(_MULTIPLE, F.col("n_policies") > 1)
-        policies = per_policy.groupBy(*_KEY).agg(*[F.bool_or(m).cast("bigint").alias(m) for m in metrics])
-        names = mx.select(*_KEY).distinct().withColumn("copies", F.lit(1).cast("bigint"))
+        bits = " | ".join(f"if({m}, {1 << i}, 0)" for i, m in enumerate(metrics))
+        policies = per_policy.groupBy(*_KEY).agg(F.expr(f"bit_or({bits})").alias("bits"))
+        names = mx.select(*_KEY).distinct()
+        counts = {m: F.expr(f"count_if(bits & {1 << i} <> 0)") for i, m in enumerate(metrics)}
     wide = (
         policies.join(names, _KEY)
         .groupBy("snapshot_date", tld(F.col("name")).alias("tld"))
-        .agg(*[F.sum(F.col(m) * F.col("copies")).alias(m) for m in metrics])
+        .agg(*[n.alias(m) for m, n in counts.items()])
     )
     return wide.unpivot(["snapshot_date", "tld"], metrics, "metric", "n")
 

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailpolicy.functions.names import tld
-from mailpolicy.functions.policy import MECHANISMS, is_external, is_policy, parse_terms
+from mailpolicy.functions.policy import MECHANISMS, is_external, is_policy, name_terms, parse_terms, value
 from mailpolicy.functions.text import select_once
 from mailpolicy.modes import STRICT
 
@@ -26,7 +26,15 @@ def explode_terms(spf: DataFrame, mode: str = STRICT) -> DataFrame:
     terms = answers.select(
         *carried, "answer_no", F.posexplode(parse_terms(F.col("policy"), F.col("name"), mode)).alias("term_no", "term")
     )
-    return terms.select(*carried, tld(F.col("name")).alias("tld"), "answer_no", "term_no", "term.*")
+    return terms.select(
+        *carried,
+        tld(F.col("name")).alias("tld"),
+        "answer_no",
+        "term_no",
+        "term.qualifier",
+        F.nullif("term.mechanism", F.lit("")).alias("mechanism"),
+        "term.value",
+    )
 
 
 def flags(spf: DataFrame, mode: str = STRICT) -> DataFrame:
@@ -42,11 +50,13 @@ def flags(spf: DataFrame, mode: str = STRICT) -> DataFrame:
         F.greatest(F.size("_policies"), F.lit(0)).alias("n_policies"),
         F.posexplode_outer("_policies").alias("_no", "_policy"),
     )
-    parsed = select_once(policies, _terms=parse_terms(F.col("_policy"), F.col("name"), mode))
+    parsed = select_once(policies, _terms=name_terms(F.col("_policy"), mode))
     used = F.col("_terms.mechanism")
+    name = F.col("name")
     external = F.exists(
         "_terms",
-        lambda t: (t["mechanism"] == "include") & is_external(t["value"], F.col("name"), mode),
+        lambda t: (t["mechanism"] == "include")
+        & is_external(value(t["term"], t["mechanism"], name, mode), name, mode),
     )
     return parsed.select(
         *carried,

@@ -46,8 +46,7 @@ FIELDS = ["ts_text", "qname", "rr_type", "client_ip", "flags"]
 
 def _split_lines(lines: DataFrame) -> DataFrame:
     """Add the field tokens of a line and its date, null where the line is unreadable."""
-    kept = F.filter(tokens(F.col("value")), lambda t: ~t.isin(*NOISE))
-    split = select_once(lines, _tokens=kept)
+    split = select_once(lines, _tokens=tokens(F.col("value"), without=NOISE))
     known = F.size("_tokens").isin(*TOKEN_COUNTS)
     # month names are read in any case
     day, month, year = (F.split_part(_token(0), F.lit("-"), F.lit(i)) for i in (1, 2, 3))

@@ -11,10 +11,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table to make text from; a table of fewer files than cores is spread over the cores first."""
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    few = len(df.inputFiles()) < cores
+    return df.select(*columns).repartition(cores) if few else df.select(*columns)
+
+
 def spf_lines(spark: SparkSession, sf_dir: str, snapshot: int) -> DataFrame:
     """TXT scan lines, one per customer: ``k, value, snapshot_date``. Some lines are broken, some names have no policy."""
     v = snapshot
-    base = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k").selectExpr(
+    base = _spread(spark, sf_dir, "customer", "c_custkey").selectExpr("c_custkey AS k").selectExpr(
         "k", "concat('d', k, '.', element_at(array('com', 'net', 'org', 'se', 'io'), int(k % 5) + 1)) AS name"
     )
     terms = f"""concat_ws(' ', 'v=spf1',
@@ -39,7 +47,7 @@ def spf_lines(spark: SparkSession, sf_dir: str, snapshot: int) -> DataFrame:
 
 def mx_lines(spark: SparkSession, sf_dir: str, snapshot: int) -> DataFrame:
     """MX scan lines, one per customer: ``value, snapshot_date``. Some names have an address only."""
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS k").selectExpr(
+    return _spread(spark, sf_dir, "customer", "c_custkey").selectExpr("c_custkey AS k").selectExpr(
         """concat('["d', k, '.', element_at(array('com', 'net', 'org', 'se', 'io'), int(k % 5) + 1),
             '.",[{"data":{"exchanges":[{"type":"', if(k % 6 <> 1, 'MX', 'A'),
             '","name":"m.d', k, '.com","ipv4_addresses":["192.0.2.1"]}]}}]]') AS value""",
@@ -76,7 +84,7 @@ def mx_lines_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluator report lines, one per order; some are repeated, some broken lines are added."""
-    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS o", "concat('q', o_orderkey, '.com') AS q")
+    o = _spread(spark, sf_dir, "orders", "o_orderkey").selectExpr("o_orderkey AS o", "concat('q', o_orderkey, '.com') AS q")
     error = """CASE o % 8
         WHEN 0 THEN concat('"No TXT record found for ', q, '"')
         WHEN 1 THEN concat('"No SPF record found for ', q, '"')
@@ -147,7 +155,7 @@ def id_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query-log lines, one per event: ``e, value``."""
-    events = table(spark, sf_dir, "events").selectExpr(
+    events = _spread(spark, sf_dir, "events", "event_id", "ts", "user_id").selectExpr(
         "event_id AS e",
         "ts",
         f"substr(md5(concat(event_id % 51, '.test', 1 + (event_id div 51) % 2, '.', {_SERVER})), 1, 8) AS label",

@@ -36,7 +36,11 @@ def _labels(mode, digits):
 
 
 def _funnel(mode):
-    return lambda spark, sf_dir: probes.funnel(parse_all(_log(spark, sf_dir)), _ids(spark, sf_dir), DOMAIN, mode)
+    def build(spark, sf_dir):
+        counts = probes.label_counts(parse_all(_log(spark, sf_dir)), DOMAIN, mode)
+        return probes.funnel(counts, _ids(spark, sf_dir), mode)
+
+    return build
 
 
 _COUNTS = ["server_id", "total1", "unique1", "total2", "unique2", "void_total", "void_unique"]

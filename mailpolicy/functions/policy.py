@@ -63,8 +63,9 @@ def unqualified(term: Column, mode: str = STRICT) -> Column:
 
 def mechanism(term: Column, mode: str = STRICT) -> Column:
     """Mechanism an unqualified term names, empty if none (TRM4, Q6)."""
-    name = F.regexp_extract(term, _NAME[mode], 1)
-    return name if is_reference(mode) else F.lower(name)
+    if is_reference(mode):
+        return F.regexp_extract(term, _NAME[REFERENCE], 1)
+    return F.lower(F.regexp_extract(term, _NAME[STRICT], 1))
 
 
 def value(term: Column, mech: Column, name: Column, mode: str = STRICT) -> Column:

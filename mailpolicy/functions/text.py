@@ -26,6 +26,11 @@ def tokens(col: Column, without: list[str] | None = None) -> Column:
     return F.filter(F.split(spaced(col), " "), lambda t: ~t.isin("", *(without or [])))
 
 
+def closes(col: Column, bracket: str) -> Column:
+    """Does a line end with a bracket? The JSON reader stops at the end of a value, and text after it is an error."""
+    return F.endswith(col, F.lit(bracket)) | F.endswith(F.rtrim(col, F.lit(" \t\r\n")), F.lit(bracket))
+
+
 def select_once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that later filters must not evaluate a second time.
 

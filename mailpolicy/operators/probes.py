@@ -93,53 +93,64 @@ def _label(mode: str) -> Column:
     return label if is_reference(mode) else F.lower(label)
 
 
-def server_counts(log: DataFrame, ids: DataFrame, domain: str, mode: str = STRICT) -> DataFrame:
-    """One row per server seen (AGG26-31, AGG40).
+def label_counts(log: DataFrame, domain: str, mode: str = STRICT) -> DataFrame:
+    """``label, n, unreadable``: log lines per probe label; lines that are no probe have a null label.
 
-    ``server_id, total1, unique1, total2, unique2, void_total, void_unique, indicators1, indicators2``.
+    Everything else is drawn from this table. The log is counted by label before anything moves, so a server with a third
+    of all queries is at most 102 rows after that.
+    """
+    return (
+        log.select(
+            F.when(_is_probe(domain), _label(mode)).alias("label"),
+            F.col("ts_text").isNull().alias("unreadable"),
+        )
+        .groupBy("label")
+        .agg(F.count("*").alias("n"), F.count_if("unreadable").alias("unreadable"))
+    )
 
-    The log is counted by label before anything moves, so a server with a third of all queries is at most 102 rows after
-    that. As a label stands for one probe, a distinct probe number is a row and no distinct count is needed.
+
+def servers(counts: DataFrame, ids: DataFrame, mode: str = STRICT) -> DataFrame:
+    """One row per server seen in ``label_counts`` (AGG26-31, AGG40).
+
+    ``server_id, total1, unique1, total2, unique2, void_total, void_unique, indicators1, indicators2``. As a label stands
+    for one probe, a distinct probe number is a row and no distinct count is needed.
     """
-    counted = log.where(_is_probe(domain)).groupBy(_label(mode).alias("label")).agg(F.count("*").alias("n"))
     ranked = _ranked(ids)
-    seen = counted.join(_slots(ranked, mode), "label").select(
+    seen = counts.join(_slots(ranked, mode), "label").select(
         _rank().alias("rank"), _no().alias("no"), _test().alias("test"), "n"
     )
     n, no = F.col("n"), F.col("no")
     void = no.between(VOID_FIRST, VOID_LAST)
+    first, second = (F.col("test") == t for t in (1, 2))
 
     def total(cond: Column) -> Column:
         return F.coalesce(F.sum(F.when(cond, n)), F.lit(0).cast("bigint"))
 
-    first, second = (F.col("test") == t for t in (1, 2))
-    servers = seen.groupBy("rank").agg(
+    def indicators(cond: Column) -> Column:
+        return F.count_if(cond & no.isin(*INDICATORS)) == len(INDICATORS)
+
+    per_server = seen.groupBy("rank").agg(
         total(first).alias("total1"),
         F.count_if(first).alias("unique1"),
         total(second).alias("total2"),
         F.count_if(second).alias("unique2"),
         total(second & void).alias("void_total"),
         F.count_if(second & void).alias("void_unique"),
-        *[
-            (F.count_if(t & no.isin(*INDICATORS)) == len(INDICATORS)).alias(f"indicators{i}")
-            for i, t in ((1, first), (2, second))
-        ],
+        indicators(first).alias("indicators1"),
+        indicators(second).alias("indicators2"),
     )
-    counts = [c for c in servers.columns if c != "rank"]
-    return servers.join(ranked, "rank").select(F.col("id").alias("server_id"), *counts)
+    columns = [c for c in per_server.columns if c != "rank"]
+    return per_server.join(ranked, "rank").select(F.col("id").alias("server_id"), *columns)
 
 
-def funnel(log: DataFrame, ids: DataFrame, domain: str, mode: str = STRICT) -> DataFrame:
-    """``lines, unreadable, txt_rows, mapped_rows`` over all log lines (AGG32); takes ``querylog.parse_all``."""
-    counted = (
-        log.select(
-            F.when(_is_probe(domain), _label(mode)).alias("label"),
-            F.col("ts_text").isNull().alias("unreadable"),
-        )
-        .groupBy("label")
-        .agg(F.count("*").alias("n"), F.count_if("unreadable").alias("unreadable"))
-    )
-    found = counted.join(_slots(_ranked(ids), mode), "label", "left")
+def server_counts(log: DataFrame, ids: DataFrame, domain: str, mode: str = STRICT) -> DataFrame:
+    """``servers`` of a log, other lines left out first (JN3)."""
+    return servers(label_counts(log.where(_is_probe(domain)), domain, mode), ids, mode)
+
+
+def funnel(counts: DataFrame, ids: DataFrame, mode: str = STRICT) -> DataFrame:
+    """``lines, unreadable, txt_rows, mapped_rows`` of a log (AGG32), from ``label_counts`` of ``querylog.parse_all``."""
+    found = counts.join(_slots(_ranked(ids), mode), "label", "left")
 
     def total(col: str, cond: Column | None = None) -> Column:
         counted_if = F.col(col) if cond is None else F.when(cond, F.col(col))

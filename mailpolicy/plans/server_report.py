@@ -14,10 +14,13 @@ from mailpolicy.sources import querylog
 def run(
     spark: SparkSession, log_paths: list[str], ids_path: str, domain: str, out: str, mode: str = STRICT
 ) -> dict[str, DataFrame]:
-    """The log is read for the per-server table, which is written, and once more for the funnel of its lines."""
+    """The log is read once, into a table of its probe labels; the rest comes from that table."""
     ids = querylog.read_ids(spark, ids_path)
-    lines = querylog.read_query_log(spark, log_paths)
-    counted = probes.server_counts(querylog.parse_log(lines), ids, domain, mode)
+    log = querylog.parse_all(querylog.read_log_lines(spark, log_paths))
+    probes.label_counts(log, domain, mode).write.mode("overwrite").parquet(f"{out}/labels")
+    labels = spark.read.schema("label string, n bigint, unreadable bigint").parquet(f"{out}/labels")
+
+    counted = probes.servers(labels, ids, mode)
     counted.write.mode("overwrite").parquet(f"{out}/servers")
     servers = spark.read.schema(counted.schema).parquet(f"{out}/servers")
 
@@ -28,7 +31,7 @@ def run(
         sinks.write_cdf(curve.where(F.col("series") == series), f"{out}/cdf_{series}")
     return {
         "scanned": probes.scanned(ids),
-        "funnel": probes.funnel(querylog.parse_all(lines), ids, domain, mode),
+        "funnel": probes.funnel(labels, ids, mode),
         "limits": probes.limits(servers, mode),
         "server_cdf": curve,
     }

@@ -10,11 +10,16 @@ NOISE = ["query:", "info:", "client", "view", "standard:", "queries:"]
 TOKEN_COUNTS = [10, 12]
 
 
-def read_query_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """All lines of all files of the given directories (SET5)."""
     return spark.read.text(paths)
 
 
+def read_query_log(spark: SparkSession, paths: str | list[str], until: str | None = None) -> DataFrame:
+    """The readable lines of all files of the given directories, as ``parse_log``."""
+    return parse_log(read_log_lines(spark, paths), until)
+
+
 def parse_log(lines: DataFrame, until: str | None = None) -> DataFrame:
     """Log lines → ``ts_text, qname, rr_type, client_ip, flags`` (D11), other columns carried along.
 

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailpolicy.functions.names import drop_last, strip_dot
-from mailpolicy.functions.text import select_once, strip
+from mailpolicy.functions.text import closes, select_once, strip
 from mailpolicy.modes import STRICT, is_reference
 
 _VERDICT = "struct<a:struct<ips:array<string>>>"
@@ -26,9 +26,7 @@ def parse_reports(lines: DataFrame) -> DataFrame:
     ``line_id`` is a digest of the whole line. It stands for the text where exact copies of a line are taken out, so
     that a shuffle moves 64 digits and not the report. ``error`` is null unless the report holds a text there.
     """
-    report = F.when(
-        F.endswith(F.rtrim("value"), F.lit("}")), F.from_json("value", REPORT, {"allowSingleQuotes": "false"})
-    )
+    report = F.when(closes(F.col("value"), "}"), F.from_json("value", REPORT, {"allowSingleQuotes": "false"}))
     parsed = select_once(lines, _report=report)
     field = F.col("_report")
     is_text = F.schema_of_variant(field["error"]) == "STRING"

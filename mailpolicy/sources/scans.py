@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailpolicy.functions.names import strip_dot
-from mailpolicy.functions.text import select_once
+from mailpolicy.functions.text import closes, select_once
 from mailpolicy.modes import STRICT, is_reference
 
 ANSWERS = "array<struct<type:string,answer:string>>"
@@ -60,8 +60,7 @@ def _spf_records(lines: DataFrame) -> DataFrame:
 
 
 def _closed(parsed: Column, bracket: str) -> Column:
-    """The JSON reader stops at the end of the value; text after it makes the line invalid."""
-    return F.when(F.endswith(F.rtrim(F.col("value")), F.lit(bracket)), parsed)
+    return F.when(closes(F.col("value"), bracket), parsed)
 
 
 def _has_name(record: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Run a registered query and its SQL on the same tables and compare the results."""
+"""Compare the result of a registered query with that of its SQL on the same tables."""
 
 import glob
 import os
@@ -18,9 +18,8 @@ def rows_of(columns: list[str], rows: list) -> list[tuple]:
     return sorted((tuple(r[i] for i in order) for r in rows), key=repr)
 
 
-def compare(spark, con, sf_dir: str, query, sql: str) -> int:
+def compare(con, mine, sql: str) -> int:
     """Number of rows; raises if columns, types or values differ."""
-    mine = query(spark, sf_dir)
     theirs = con.sql(sql)
     assert sorted(mine.columns) == sorted(theirs.columns), (mine.columns, theirs.columns)
     kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}

@@ -12,18 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table to make text from; a table of fewer files than cores is spread over the cores first."""
-    df = table(spark, sf_dir, name)
+    """Columns of a table to make text from; a table read in fewer tasks than there are cores is spread over them first."""
+    df = table(spark, sf_dir, name).select(*columns)
     cores = spark.sparkContext.defaultParallelism
-    few = len(df.inputFiles()) < cores
-    return df.select(*columns).repartition(cores) if few else df.select(*columns)
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def spf_lines(spark: SparkSession, sf_dir: str, snapshot: int) -> DataFrame:
-    """TXT scan lines, one per customer: ``k, value, snapshot_date``. Some lines are broken, some names have no policy."""
+    """TXT scan lines, one per customer: ``k, segment, value, snapshot_date``. Some lines are broken, some names have no policy."""
     v = snapshot
-    base = _spread(spark, sf_dir, "customer", "c_custkey").selectExpr("c_custkey AS k").selectExpr(
-        "k", "concat('d', k, '.', element_at(array('com', 'net', 'org', 'se', 'io'), int(k % 5) + 1)) AS name"
+    base = _spread(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").selectExpr(
+        "c_custkey AS k", "c_mktsegment AS segment"
+    ).selectExpr(
+        "k", "segment", "concat('d', k, '.', element_at(array('com', 'net', 'org', 'se', 'io'), int(k % 5) + 1)) AS name"
     )
     terms = f"""concat_ws(' ', 'v=spf1',
         if(k % 2 = 0, 'a', null),
@@ -39,6 +40,7 @@ def spf_lines(spark: SparkSession, sf_dir: str, snapshot: int) -> DataFrame:
         if(k % 37 <> 0, '-all', null))"""
     return base.selectExpr(
         "k",
+        "segment",
         f"""if(k % 50 = 49, '{{broken', concat('{{"name":"', name, '.","data":{{"answers":[{{"type":"TXT","answer":"',
             if(k % (2 + {v}) <> 0, {terms}, 'google-site'), '"}}]}}}}')) AS value""",
         f"date '{FIRST if v == 1 else LAST}' AS snapshot_date",
@@ -57,9 +59,7 @@ def mx_lines(spark: SparkSession, sf_dir: str, snapshot: int) -> DataFrame:
 
 def spf_lines_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First snapshot where names of households have a second policy and a second line."""
-    lines = spf_lines(spark, sf_dir, 1).join(
-        table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "c_mktsegment AS segment"), "k"
-    )
+    lines = spf_lines(spark, sf_dir, 1)
     second = ',{"type":"TXT","answer":"v=spf1 ip4:192.0.2.1 mx ~all"}]}}'
     more = F.when(
         F.col("segment") == "HOUSEHOLD", F.replace("value", F.lit("]}}"), F.lit(second))

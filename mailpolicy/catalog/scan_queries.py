@@ -21,7 +21,7 @@ def _summary(mode, snapshots=(1,), zones=None):
     def build(spark, sf_dir):
         spf = mx = None
         for v in snapshots:
-            s, m = spf_lines(spark, sf_dir, v).drop("k"), mx_lines(spark, sf_dir, v)
+            s, m = spf_lines(spark, sf_dir, v).drop("k", "segment"), mx_lines(spark, sf_dir, v)
             spf, mx = (s, m) if spf is None else (spf.unionByName(s), mx.unionByName(m))
         return deployment.summary(parse_spf(spf, mode), parse_mx(mx, mode), mode, zones)
 
@@ -62,7 +62,7 @@ def _joined_names(mode):
 
 def _terms(mode):
     def build(spark, sf_dir):
-        spf = parse_spf(spf_lines(spark, sf_dir, 1).drop("k"), mode)
+        spf = parse_spf(spf_lines(spark, sf_dir, 1).drop("k", "segment"), mode)
         rows = terms.explode_terms(spf, mode).where(F.col("mechanism").isNotNull())
         return rows.select("name", "tld", "answer_no", "term_no", "qualifier", "mechanism", "value")
 
@@ -71,7 +71,7 @@ def _terms(mode):
 
 def _names(spark, sf_dir):
     name = F.col("name")
-    spf = parse_spf(spf_lines(spark, sf_dir, 1).drop("k"))
+    spf = parse_spf(spf_lines(spark, sf_dir, 1).drop("k", "segment"))
     return spf.select("name", tld(name).alias("tld"), second_level(name).alias("sld"))
 
 

@@ -36,6 +36,9 @@ def select_once(df: DataFrame, **columns: Column) -> DataFrame:
 
     A filter on a projected column is pushed below the projection together with the column's expression, so a parsed
     line would be parsed once to be filtered and again to be selected. A generator is not crossed by such filters.
+
+    A column of the old name is replaced. Given as itself, a constant one is kept from being folded: as a join key it
+    would vanish from the join but not from the aggregations beside it, and their partitionings would no longer do for it.
     """
     row = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return df.select("*", F.inline(F.array(row)))
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(row)))

@@ -76,7 +76,7 @@ def _running_sums(hist: DataFrame, by: list[str], measures: list[str], descendin
     blocks = values.groupBy(*by, "_block").agg(*sums).withColumn("_super", _shifted("_block"))
     supers = blocks.groupBy(*by, "_super").agg(*sums)
 
-    # each level only needs what the levels above it held before
+    # each level only needs what the levels above it held before; the merge joins partition as the windows after them do
     whole = Window.partitionBy(*(by or [F.lit(0)]))
     super_starts = supers.select(
         *by,
@@ -84,7 +84,7 @@ def _running_sums(hist: DataFrame, by: list[str], measures: list[str], descendin
         *[before(m, window(by, "_super")).alias(f"{m}_start") for m in measures],
         *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures],
     )
-    block_starts = blocks.join(super_starts, [*by, "_super"]).select(
+    block_starts = blocks.join(super_starts.hint("merge"), [*by, "_super"]).select(
         *by,
         "_block",
         *[
@@ -94,7 +94,7 @@ def _running_sums(hist: DataFrame, by: list[str], measures: list[str], descendin
     )
     running = window([*by, "_block"], "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     others = [c for c in hist.columns if c not in (*by, *measures)]
-    return values.join(block_starts, [*by, "_block"]).select(
+    return values.join(block_starts.hint("merge"), [*by, "_block"]).select(
         *by,
         *others,
         *[(F.col(f"{m}_start") + F.sum(m).over(running)).alias(m) for m in measures],

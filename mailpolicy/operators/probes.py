@@ -34,7 +34,8 @@ def _ranked(ids: DataFrame) -> DataFrame:
 def _owners(ranked: DataFrame, digits: int) -> DataFrame:
     """``label, slot, lowest``, one row per label; a slot is rank, probe number and test in one number.
 
-    With one number to compare, ownership of a label is a plain maximum in a hash aggregation (Q13).
+    With one number to compare, ownership of a label is a plain maximum in a hash aggregation (Q13). The planner does not
+    see that there are 102 labels per id, so joins with these tables are merge joins and never a broadcast.
     """
     probe = ranked.select("id", "rank", F.explode(F.sequence(F.lit(0), F.lit(_PER_ID - 1))).alias("k"))
     no = F.expr(f"k div {TESTS}")
@@ -73,7 +74,7 @@ def labels(ids: DataFrame, mode: str = STRICT, digits: int = LABEL_DIGITS) -> Da
     """``label, id, no, test``: which probe of which server a label stands for (JN4, D13)."""
     ranked = _ranked(ids)
     owned = _slots(ranked, mode, digits).select("label", _rank().alias("rank"), _no().alias("no"), _test().alias("test"))
-    return owned.join(ranked, "rank").select("label", "id", "no", "test")
+    return owned.join(ranked.hint("merge"), "rank").select("label", "id", "no", "test")
 
 
 def ambiguous_labels(ids: DataFrame, digits: int = LABEL_DIGITS) -> DataFrame:
@@ -116,7 +117,7 @@ def servers(counts: DataFrame, ids: DataFrame, mode: str = STRICT) -> DataFrame:
     for one probe, a distinct probe number is a row and no distinct count is needed.
     """
     ranked = _ranked(ids)
-    seen = counts.join(_slots(ranked, mode), "label").select(
+    seen = counts.join(_slots(ranked, mode).hint("merge"), "label").select(
         _rank().alias("rank"), _no().alias("no"), _test().alias("test"), "n"
     )
     n, no = F.col("n"), F.col("no")
@@ -140,7 +141,7 @@ def servers(counts: DataFrame, ids: DataFrame, mode: str = STRICT) -> DataFrame:
         indicators(second).alias("indicators2"),
     )
     columns = [c for c in per_server.columns if c != "rank"]
-    return per_server.join(ranked, "rank").select(F.col("id").alias("server_id"), *columns)
+    return per_server.join(ranked.hint("merge"), "rank").select(F.col("id").alias("server_id"), *columns)
 
 
 def server_counts(log: DataFrame, ids: DataFrame, domain: str, mode: str = STRICT) -> DataFrame:
@@ -150,7 +151,7 @@ def server_counts(log: DataFrame, ids: DataFrame, domain: str, mode: str = STRIC
 
 def funnel(counts: DataFrame, ids: DataFrame, mode: str = STRICT) -> DataFrame:
     """``lines, unreadable, txt_rows, mapped_rows`` of a log (AGG32), from ``label_counts`` of ``querylog.parse_all``."""
-    found = counts.join(_slots(_ranked(ids), mode), "label", "left")
+    found = counts.join(_slots(_ranked(ids), mode).hint("merge"), "label", "left")
 
     def total(col: str, cond: Column | None = None) -> Column:
         counted_if = F.col(col) if cond is None else F.when(cond, F.col(col))

@@ -35,12 +35,15 @@ def restrict(per_report: DataFrame, names: DataFrame, mode: str = STRICT) -> Dat
     ``copies`` says how often the row counts: once in strict mode, once per list entry in reference mode. The rows are
     made distinct before the join, on a key no single name can dominate, and the list has one row per name, so a name
     with very many reports leaves only the probe side of the join skewed, which the adaptive planner splits.
+    Only the list can be broadcast, in strict mode and if it is small: the planner's guess at the size of parsed reports
+    is far too low to let it choose that side.
     """
     distinct = per_report.distinct()
     if is_reference(mode):
         listed = names.groupBy("name").agg(F.count("*").alias("copies"))
-        return distinct.join(listed, distinct["query"] == listed["name"]).drop("name")
-    return distinct.join(names, distinct["query"] == names["name"], "left_semi").withColumn(
+        return distinct.join(listed.hint("merge"), distinct["query"] == listed["name"]).drop("name")
+    listed = names.select("name").distinct()
+    return distinct.join(listed, distinct["query"] == listed["name"], "left_semi").withColumn(
         "copies", F.lit(1).cast("bigint")
     )
 

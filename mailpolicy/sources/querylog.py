@@ -93,7 +93,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         .select("split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
     in_split = F.row_number().over(Window.partitionBy("split").orderBy("row"))
-    return ids.withColumn("nth", in_split).join(splits, "split").select(
+    return ids.withColumn("nth", in_split).join(splits.hint("merge"), "split").select(
         (F.col("offset") + F.col("nth") - 1).alias("pos"), "id"
     )
 

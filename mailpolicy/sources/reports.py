@@ -24,7 +24,7 @@ def parse_reports(lines: DataFrame) -> DataFrame:
     """Report lines → ``query, line_id, error, lookups, expanded``; lines without a query are left out.
 
     ``line_id`` is a digest of the whole line. It stands for the text where exact copies of a line are taken out, so
-    that a shuffle moves 64 digits and not the report. ``error`` is null unless the report holds a text there.
+    that a shuffle moves 32 bytes and not the report. ``error`` is null unless the report holds a text there.
     """
     report = F.when(closes(F.col("value"), "}"), F.from_json("value", REPORT, {"allowSingleQuotes": "false"}))
     parsed = select_once(lines, _report=report)
@@ -32,7 +32,7 @@ def parse_reports(lines: DataFrame) -> DataFrame:
     is_text = F.schema_of_variant(field["error"]) == "STRING"
     return parsed.where(field["query"].isNotNull()).select(
         field["query"].alias("query"),
-        F.sha2("value", 256).alias("line_id"),
+        F.unhex(F.sha2("value", 256)).alias("line_id"),
         F.when(is_text, F.try_variant_get(field["error"], "$", "string")).alias("error"),
         field["lookups"].alias("lookups"),
         field["expanded"].alias("expanded"),

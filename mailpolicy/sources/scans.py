@@ -56,7 +56,11 @@ def spf_rejects(lines: DataFrame) -> DataFrame:
 
 def _spf_records(lines: DataFrame) -> DataFrame:
     schema = f"name string, data struct<answers:{ANSWERS}>"
-    return select_once(lines, _record=_closed(F.from_json("value", schema, _JSON), "}"))
+    return select_once(lines, _record=_closed(F.from_json("value", schema, _JSON), "}"), **_date(lines))
+
+
+def _date(lines: DataFrame) -> dict[str, Column]:
+    return {c: F.col(c) for c in lines.columns if c == "snapshot_date"}
 
 
 def _closed(parsed: Column, bracket: str) -> Column:
@@ -82,7 +86,7 @@ def parse_mx(lines: DataFrame, mode: str = STRICT) -> DataFrame:
     """
     carried = [c for c in lines.columns if c != "value"]
     pair = _closed(F.from_json("value", "array<string>", _JSON), "]")
-    pairs = select_once(lines, _pair=pair)
+    pairs = select_once(lines, _pair=pair, **_date(lines))
     records = F.from_json(F.get("_pair", F.lit(1)), f"array<struct<data:struct<exchanges:{EXCHANGES}>>>", _JSON)
     exchanges = F.flatten(
         F.filter(F.transform(records, lambda r: r["data"]["exchanges"]), lambda e: e.isNotNull())

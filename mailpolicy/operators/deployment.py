@@ -66,17 +66,15 @@ def joined_total(summary_table: DataFrame) -> DataFrame:
     )
 
 
-def _metric(metric: str, where: Column | None = None) -> Column:
+def _metric(metric: str, zone: str | None = None) -> Column:
     """Count of one metric in a grouping of the long table, 0 where no row has it."""
-    wanted = F.col("metric") == metric
-    if where is not None:
-        wanted = wanted & where
-    return F.coalesce(F.sum(F.when(wanted, F.col("n"))), F.lit(0).cast("bigint"))
+    wanted = f"metric = '{metric}'" if zone is None else f"metric = '{metric}' AND tld = '{zone}'"
+    return F.expr(f"coalesce(sum(n) FILTER (WHERE {wanted}), 0L)")
 
 
 def wide(summary_table: DataFrame, zones: list[str] = ZONES) -> DataFrame:
     """One row per snapshot: date, joined rows, then each metric for each zone (D10)."""
-    cells = [_metric(m, F.col("tld") == z).alias(f"{m}_{z}") for m in METRICS for z in zones]
+    cells = [_metric(m, z).alias(f"{m}_{z}") for m in METRICS for z in zones]
     return summary_table.groupBy("snapshot_date").agg(_metric("total").alias("joined"), *cells)
 
 

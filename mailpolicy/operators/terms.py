@@ -51,7 +51,6 @@ def flags(spf: DataFrame, mode: str = STRICT) -> DataFrame:
         F.posexplode_outer("_policies").alias("_no", "_policy"),
     )
     parsed = select_once(policies, _terms=name_terms(F.col("_policy"), mode))
-    used = F.col("_terms.mechanism")
     name = F.col("name")
     external = F.exists(
         "_terms",
@@ -63,6 +62,6 @@ def flags(spf: DataFrame, mode: str = STRICT) -> DataFrame:
         "n_policies",
         (F.coalesce("_no", F.lit(0)) == 0).alias("first"),
         F.col("_policy").isNotNull().alias("deployed"),
-        *[F.coalesce(F.array_contains(used, m), F.lit(False)).alias(m) for m in MECHANISMS],
+        *[F.expr(f"coalesce(array_contains(_terms.mechanism, '{m}'), false)").alias(m) for m in MECHANISMS],
         F.coalesce(external, F.lit(False)).alias("external_include"),
     )

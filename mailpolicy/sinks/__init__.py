@@ -40,12 +40,22 @@ def write_concentration(curve: DataFrame, path: str) -> None:
         _write_lines(lines.orderBy("idx"), path)
 
 
+_COPIES = 1000
+
+
 def write_messages(per_report: DataFrame, path: str) -> None:
-    """``query {domain: [message…]}`` lines of ``reports.messages``, each as often as its report counts (SNK5)."""
+    """``query {domain: [message…]}`` lines of ``reports.messages``, each as often as its report counts (SNK5).
+
+    Copies are made in chunks that are spread over the tasks in between, so that a report that counts very often is
+    written by many of them.
+    """
     line = F.concat_ws(" ", "query", F.to_json(F.map_from_entries("domains")))
-    if "copies" in per_report.columns:
-        per_report = per_report.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    per_report.select(line.alias("value")).write.mode("overwrite").text(path)
+    lines = per_report.select(line.alias("value"), *[c for c in per_report.columns if c == "copies"])
+    if "copies" in lines.columns:
+        chunks = lines.select("*", F.expr(f"explode(sequence(0L, (copies - 1) div {_COPIES})) AS chunk")).hint("rebalance")
+        copies = F.expr(f"sequence(1L, least({_COPIES}L, copies - chunk * {_COPIES}))")
+        lines = chunks.select("value", F.explode(copies)).select("value")
+    lines.write.mode("overwrite").text(path)
 
 
 def write_server_totals(totals: DataFrame, path: str) -> None:

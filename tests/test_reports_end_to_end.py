@@ -20,7 +20,7 @@ def written(path):
 
 def test_deployment_report(spark, tmp_path):
     def scan(date, policies):
-        spf, mx = tmp_path / f"spf-{date}", tmp_path / f"mx-{date}"
+        spf, mx = tmp_path / f"txt-{date}", tmp_path / f"mx-{date}"
         mx.mkdir()
         spf.write_text("".join(
             json.dumps({"name": n + ".", "data": {"answers": [{"type": "TXT", "answer": t}]}}) + "\n"
@@ -82,7 +82,7 @@ def test_concentration_report(spark, tmp_path):
 
 @pytest.mark.parametrize("mode", ["reference", "strict"])
 def test_server_report(spark, tmp_path, mode):
-    logs = [tmp_path / d for d in ("s1", "s2-expt2")]
+    logs = [tmp_path / d for d in ("first", "second")]
     for d in logs:
         d.mkdir()
     (logs[0] / "q.log").write_text("".join(log_line(f"{label(n, 1, 'aa')}.{DOMAIN}") + "\n" for n in range(51)) + "bad\n")
@@ -99,6 +99,6 @@ def test_server_report(spark, tmp_path, mode):
 
 def test_messages_are_written_as_often_as_they_count(spark, lines, tmp_path):
     found = reports.messages(parse_reports(lines(line("a", entry(errors=["é 'x'"])))), "errors")
-    names = spark.createDataFrame([("a",), ("a",)], "name string")
+    names = spark.createDataFrame([("a",)] * 2003, "name string")
     sinks.write_messages(reports.restrict(found, names, "reference"), str(tmp_path / "m"))
-    assert written(tmp_path / "m") == ['a {"a":["é \'x\'"]}'] * 2
+    assert written(tmp_path / "m") == ['a {"a":["é \'x\'"]}'] * 2003

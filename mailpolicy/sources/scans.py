@@ -88,14 +88,12 @@ def parse_mx(lines: DataFrame, mode: str = STRICT) -> DataFrame:
     pair = _closed(F.from_json("value", "array<string>", _JSON), "]")
     pairs = select_once(lines, _pair=pair, **_date(lines))
     records = F.from_json(F.get("_pair", F.lit(1)), f"array<struct<data:struct<exchanges:{EXCHANGES}>>>", _JSON)
-    exchanges = F.flatten(
-        F.filter(F.transform(records, lambda r: r["data"]["exchanges"]), lambda e: e.isNotNull())
-    )
-    name = F.get("_pair", F.lit(0))
-    parsed = select_once(pairs, _name=name, _exchanges=exchanges)
-    keep = (F.length("_name") > 0) & F.exists("_exchanges", lambda x: x["type"] == "MX")
+    parsed = select_once(pairs, _name=F.get("_pair", F.lit(0)), _records=records)
+
+    def any_exchange(condition) -> Column:
+        return F.exists("_records", lambda r: F.coalesce(F.exists(r["data"]["exchanges"], condition), F.lit(False)))
+
+    keep = (F.length("_name") > 0) & any_exchange(lambda x: x["type"] == "MX")
     if is_reference(mode):
-        keep &= ~F.exists(
-            "_exchanges", lambda x: x["type"].isNull() | ((x["type"] == "MX") & x["name"].isNull())
-        )
+        keep &= ~any_exchange(lambda x: x["type"].isNull() | ((x["type"] == "MX") & x["name"].isNull()))
     return parsed.where(keep).select(*carried, strip_dot(F.col("_name")).alias("name"))

@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as driver
 import oracle
+from mailpolicy import catalog
 
 SF = "/root/testdata/sf0.01"
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")

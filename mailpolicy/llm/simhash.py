@@ -69,7 +69,7 @@ def _within(planes: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
     n, full = planes.shape[1], np.uint64(0xFFFFFFFFFFFFFFFF)
     out = np.zeros((len(queries), n), np.uint64)
     q, block = (x.ravel() for x in np.indices((len(queries), n)))
-    counters = [np.zeros(len(q), np.uint64) for _ in range(radius.bit_length())]
+    counters = [np.zeros(len(q), np.uint64) for _ in range(max(1, radius.bit_length()))]
     over = np.zeros(len(q), np.uint64)
     for bit in range(64):
         carry = planes[bit, block] ^ (full * ((queries[q] >> np.uint64(bit)) & np.uint64(1)))

@@ -10,12 +10,19 @@ from itertools import chain
 
 import numpy as np
 
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: Before a full stop or comma behind a letter: the letters end a token there, whatever follows.
+_STOP = re.compile(rf"(?<=[{_LETTERS}])(?=[.,])")
+#: White space with the letters, up to white space, a stop or a comma, or with whatever else follows it up to white space.
+_KEPT = re.compile(rf"\s*[{_LETTERS}]+(?=[\s.,]|\Z)|\s*\S+|\s+")
+#: White space to Python, but not to tokenizers.
+_ODD = re.compile("[\x1c-\x1f]")
+
 #: Where a text may be cut so that the pieces' ids, put together, are the text's. The first serves tokenizers that drop white space
-#: between words, the second those whose words take one space before them along; both leave odd white space inside a piece.
-_KEPT = re.compile(r"(?<=\S)(?= \S)")
+#: between words, the second those whose words take one space before them along.
 CUTS: dict[str, Callable[[str], list[str]]] = {
-    "dropped": lambda text: text.replace("\n", " ").split(" "),
-    "kept": _KEPT.split,
+    "dropped": lambda text: _STOP.sub(" ", text).replace("\n", " ").split(" "),
+    "kept": lambda text: [text] if _ODD.search(text) else _KEPT.findall(text),
     "none": lambda text: [text],
 }
 
@@ -26,13 +33,17 @@ class Encoder(dict):
     Remembers pieces of up to 64 characters: when ``most`` are held they become the old ones, which go when ``most`` new ones have come.
     """
 
-    def __init__(self, path: str, cut: str = "none", most: int = 300_000):
+    def __init__(self, path: str, cut: str = "none", most: int = 600_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cut, self.most = Tokenizer.from_file(path), CUTS[cut], most
         self.old: dict[str, bytes] = {}
+        # Of each id: does it end a word ("dropped"), does it begin with the space before one ("kept")?
+        names = sorted((i, t) for t, i in self.tokenizer.get_vocab().items())
+        self.border = np.zeros(names[-1][0] + 1, bool)
+        self.border[[i for i, t in names if (t.endswith("</w>") if cut == "dropped" else t.startswith("\u0120"))]] = True
 
     def __missing__(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes() if piece else b""
@@ -43,11 +54,26 @@ class Encoder(dict):
             self.old = dict(self)
             self.clear()
         self.update((x, self.old[x]) for x in pieces if x in self.old)
+        # Words of letters alone are tokenized as one text, in which borders show; the others one by one, but in one call.
+        if self.cut is CUTS["dropped"]:
+            plain = [x for x in pieces if x not in self and x.isalpha()]
+        else:
+            plain = [x for x in pieces if x not in self and x[0] == " " and x[1:].isalpha()]
+        if plain:
+            joined = (" " if self.cut is CUTS["dropped"] else "").join(plain)
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.border[ids])
+            if len(at) == len(plain):
+                ends = at + 1 if self.cut is CUTS["dropped"] else np.r_[at[1:], len(ids)]
+                self._remember(plain, ids, ends)
         fresh = [x for x in pieces if x not in self]
         found = self.tokenizer.encode(fresh, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, "<u4").tobytes()
-        ends = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(fresh)), side="right")).tolist()
-        self.update(zip(fresh, (ids[a:b] for a, b in zip([0, *ends], ends))))
+        ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(fresh)), side="right")
+        self._remember(fresh, np.array(found.ids, "<u4"), ends)
+
+    def _remember(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        self.update(zip(pieces, (data[a:b] for a, b in zip([0, *ends], ends))))
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text, in order; works on a few million characters at a time."""

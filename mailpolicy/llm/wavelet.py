@@ -43,7 +43,7 @@ class Wavelet:
         x = ids.astype(np.uint16 if planes <= 16 else np.uint32)
         zeros, words, ones = [], [], []
         for level in reversed(range(planes)):
-            bit = (x >> level & 1).astype(bool)
+            bit = (x & x.dtype.type(1 << level)) != 0
             packed = np.zeros(-(-len(x) // 64) * 8, np.uint8)
             bits = np.packbits(bit, bitorder="little")
             packed[: len(bits)] = bits
@@ -53,7 +53,10 @@ class Wavelet:
             words.append(w)
             ones.append(np.r_[0, np.cumsum(sums)].astype("<u4"))
             zeros.append(int(len(x) - ones[-1][-1]))
-            x = np.concatenate([x[~bit], x[bit]])
+            y = np.empty_like(x)
+            np.compress(~bit, x, out=y[: zeros[-1]])
+            np.compress(bit, x, out=y[zeros[-1] :])
+            x = y
         return cls(len(ids), zeros, words, ones)
 
     def _ones(self, level: int, i: int) -> int:
@@ -123,8 +126,9 @@ class Wavelet:
         for shift, level in enumerate(reversed(range(len(self.zeros)))):
             bit = np.unpackbits(self.words[level].view(np.uint8), count=self.n, bitorder="little").view(bool)
             y, x = x, np.empty_like(x)
-            x[~bit] = y[: self.zeros[level]]
-            x[bit] = y[self.zeros[level] :] | x.dtype.type(1 << shift)
+            y[self.zeros[level] :] |= x.dtype.type(1 << shift)
+            np.place(x, ~bit, y[: self.zeros[level]])
+            np.place(x, bit, y[self.zeros[level] :])
         return x.astype("<u4")
 
 

@@ -20,10 +20,13 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Of each SimHash group the document of the smallest id; of rows of that id one. Rows without a doc_id stay."""
     found = simhash.near_duplicates(docs, shingle=3, radius=2)
     stay = kept(found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("__id"), "n"), "stay")
-    once = docs.join(stay.filter("n = 1"), F.col("doc_id") == F.col("__id"), "left_semi")
-    several = docs.join(stay.filter("n > 1"), F.col("doc_id") == F.col("__id"), "left_semi")
-    first = several.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("__nth = 1").drop("__nth")
-    return once.union(first).union(docs.filter(F.col("doc_id").isNull()))
+    nameless = docs.filter(F.col("doc_id").isNull())
+    # Merged at any size: whether the ids would fit into a broadcast depends on the corpus.
+    chosen = docs.join(stay.hint("merge"), F.col("doc_id") == F.col("__id"))
+    if not stay.filter("n > 1").isEmpty():
+        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        chosen = chosen.withColumn("__nth", nth).filter("__nth = 1")
+    return chosen.select(*docs.columns).union(nameless)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

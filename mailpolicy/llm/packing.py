@@ -171,22 +171,23 @@ def _places(runs) -> np.ndarray:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, cut: str, end_id: int, size: int, keep_ids: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
-    encode, task, seen = encoder(path, cut).encode_all, TaskContext.get().partitionId(), Counter()
+    known, task, seen = encoder(path, cut), TaskContext.get().partitionId(), Counter()
     end = np.array([end_id], "<u4").tobytes()
     for b in batches:
         row, out = [], []
-        for i, ids in enumerate(encode(t.as_py() for t in b.column(2))):
+        for i, ids in enumerate(known.encode_all(t.as_py() for t in b.column(2))):
             ids += end
             for piece, at in enumerate(range(0, len(ids), 4 * size)):
                 part = ids[at : at + 4 * size]
                 n = len(part) // 4
                 row.append(i)
-                out.append((piece, at // 4, n, zlib.crc32(part), seen[n], part))
+                out.append((piece, at // 4, n, zlib.crc32(part), seen[n], part if keep_ids else None))
                 seen[n] += 1
         columns = list(zip(*out)) if out else [()] * 6
         arrays = [b.column(j).take(pa.array(row, pa.int32())) for j in range(2)]
         arrays += [pa.array(columns[0], pa.int32()), *(pa.array(columns[j], pa.int64()) for j in range(1, 5)), pa.array([task] * len(out), pa.int32())]
         yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(columns[5], pa.binary())] if keep_ids else [])], names=names)
+    known.settle()
 
 
 def pack(docs: DataFrame, path: str, cut: str = "none", end_id: int = 1, size: int = 4096, keep_ids: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
@@ -27,6 +27,10 @@ CUTS: dict[str, Callable[[str], list[str]]] = {
 }
 
 
+#: Pieces that a worker keeps in mind between tasks.
+FREQUENT = 100_000
+
+
 class Encoder(dict):
     """Ids of texts as little-endian unsigned 32-bit numbers, without special tokens.
 
@@ -76,17 +80,24 @@ class Encoder(dict):
         self.update(zip(pieces, (data[a:b] for a, b in zip([0, *ends], ends))))
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """Ids of each text, in order; works on a few million characters at a time."""
+        """Ids of each text, in order; works on about a million characters at a time."""
         held: list[list[str]] = []
         n = 0
         for text in texts:
             held.append(self.cut(text) if text else [])
             n += len(text or "")
-            if n >= 3_000_000:
+            if n >= 1_000_000:
                 yield from self._joined(held)
                 held, n = [], 0
         yield from self._joined(held)
 
+    def settle(self) -> None:
+        """At a task's end: the worker may live on for other work, so only what came first, mostly what is frequent, stays."""
+        self.old = {}
+        first = dict(islice(self.items(), FREQUENT))
+        self.clear()
+        self.update(first)
+
     def _joined(self, held: list[list[str]]) -> Iterator[bytes]:
         if self.cut is not CUTS["none"]:
             pieces = set(chain.from_iterable(held))

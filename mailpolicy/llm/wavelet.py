@@ -166,7 +166,7 @@ def from_file(data: bytes) -> tuple[Wavelet, list[int | None], np.ndarray, int,
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, cut: str, end_id: int, shard: int, planes: int) -> Iterator[pa.RecordBatch]:
-    encode, task = encoder(path, cut).encode_all, TaskContext.get().partitionId()
+    known, task = encoder(path, cut), TaskContext.get().partitionId()
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root)
     end, parts, doc_ids, counts, number, held = np.array([end_id], "<u4").tobytes(), [], [], [], 0, 0
@@ -181,7 +181,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, cut: str,
         return pa.RecordBatch.from_arrays([pa.array([x]) for x in (task, number, sum(counts))], names=["task", "number", "n"])
 
     for b in batches:
-        for d, ids in zip(b.column(0).to_pylist(), encode(t.as_py() for t in b.column(1))):
+        for d, ids in zip(b.column(0).to_pylist(), known.encode_all(t.as_py() for t in b.column(1))):
             ids += end
             parts.append(ids)
             doc_ids.append(d)
@@ -192,6 +192,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, cut: str,
                 parts, doc_ids, counts, number, held = [], [], [], number + 1, 0
     if parts:
         yield flush()
+    known.settle()
 
 
 def write(docs: DataFrame, folder: str, path: str, cut: str = "none", end_id: int = 2, shard: int = SHARD_TOKENS) -> DataFrame:

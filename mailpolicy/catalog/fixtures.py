@@ -129,11 +129,12 @@ def name_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def include_lines(spark: SparkSession, sf_dir: str, over: int | None = None) -> DataFrame:
-    """Include-count lines, one target per customer with orders; ``over`` keeps counts above it."""
+    """Include-count lines, one target per customer with orders; ``over`` keeps counts above it. Some indices fit no int."""
     counts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
     if over is not None:
         counts = counts.where(F.col("n") > over)
-    return counts.selectExpr("concat(o_custkey, ' _spf.p', o_custkey, '.net ', n) AS value")
+    index = "case o_custkey % 3 when 0 then string(o_custkey + 2147483648) when 1 then concat('x', o_custkey) else string(o_custkey) end"
+    return counts.selectExpr(f"concat({index}, ' _spf.p', o_custkey, '.net ', n) AS value")
 
 
 def include_lines_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:

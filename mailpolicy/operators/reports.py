@@ -32,20 +32,21 @@ def facts(reports: DataFrame, mode: str = STRICT) -> DataFrame:
 def restrict(per_report: DataFrame, names: DataFrame, mode: str = STRICT) -> DataFrame:
     """Take exact copies of a line out (DST1), keep listed names (JN2), add ``copies``.
 
-    ``copies`` says how often the row counts: once in strict mode, once per list entry in reference mode. The rows are
-    made distinct before the join, on a key no single name can dominate, and the list has one row per name, so a name
-    with very many reports leaves only the probe side of the join skewed, which the adaptive planner splits.
+    ``copies`` says how often the row counts: once in strict mode, once per list entry in reference mode.
+
+    A name may have very many reports. The adaptive planner splits such a key only where both sides of the join come
+    straight from a shuffle. So in strict mode the list is not made distinct, which a semi-join does not need; in
+    reference mode it is grouped by the name and its length, so that the join needs a shuffle of the (one row per name)
+    list after that. Copies are taken out after the join in strict mode, whose partitioning by query serves both.
     Only the list can be broadcast, in strict mode and if it is small: the planner's guess at the size of parsed reports
     is far too low to let it choose that side.
     """
-    distinct = per_report.distinct()
     if is_reference(mode):
-        listed = names.groupBy("name").agg(F.count("*").alias("copies"))
-        return distinct.join(listed.hint("merge"), distinct["query"] == listed["name"]).drop("name")
-    listed = names.select("name").distinct()
-    return distinct.join(listed, distinct["query"] == listed["name"], "left_semi").withColumn(
-        "copies", F.lit(1).cast("bigint")
-    )
+        distinct = per_report.distinct()
+        by_name = names.groupBy("name", F.length("name").alias("_length")).agg(F.count("*").alias("copies")).drop("_length")
+        return distinct.join(by_name.hint("merge"), distinct["query"] == by_name["name"]).drop("name")
+    listed = per_report.join(names.select("name"), per_report["query"] == F.col("name"), "left_semi")
+    return listed.distinct().withColumn("copies", F.lit(1).cast("bigint"))
 
 
 def _include_series(mode: str) -> Column:

@@ -6,8 +6,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # lets a name join filter the larger scan before its shuffle
-    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # splits a name with very many reports even where that costs the distinct step after the join a shuffle
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     # partitions that see no new snapshot keep their files on a rerun
     "spark.sql.sources.partitionOverwriteMode": "dynamic",

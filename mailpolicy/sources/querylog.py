@@ -77,15 +77,23 @@ def _fields() -> list[Column]:
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """One JSON array of server ids → ``pos, id``, ``pos`` counting from 0 (Q13 needs the order).
 
-    The file is cut at its commas and not read as one value, so that it splits over tasks. Ids are hex digests and hold
-    no comma. Positions are counted within a file split, then moved up by the ids of the splits before it.
+    The file is cut at its commas and not read as one value, so that it splits over tasks (a gzip file is one task by
+    nature). Ids are hex digests and hold no comma; a piece that is neither a string nor null, as a string with a comma
+    makes, ends the run with an error, so that no id is lost and no position shifts. A null keeps its position, and is
+    no id. Positions are counted within a file split, then moved up by the pieces of the splits before it.
     """
-    pieces = spark.read.option("lineSep", ",").text(path).select(
-        parse_id(F.col("value")).alias("id"),
-        F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("row"),
+    pieces = select_once(
+        spark.read.option("lineSep", ",").text(path).select(
+            "value",
+            F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("row"),
+        ),
+        id=parse_id(F.col("value")),
+        _inner=_inner(F.col("value")),
     )
-    ids = pieces.where(F.col("id").isNotNull())
+    lost = F.concat(F.lit("not one string of a JSON array: "), F.col("value"))
+    known = F.when(F.col("id").isNotNull() | (F.col("_inner") == "null"), F.col("id")).otherwise(F.raise_error(lost))
+    ids = pieces.where(F.col("_inner") != "").select(known.alias("id"), "split", "row")
     before = Window.partitionBy(F.lit(0)).orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     splits = (
         ids.groupBy("split")
@@ -95,10 +103,13 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     in_split = F.row_number().over(Window.partitionBy("split").orderBy("row"))
     return ids.withColumn("nth", in_split).join(splits.hint("merge"), "split").select(
         (F.col("offset") + F.col("nth") - 1).alias("pos"), "id"
-    )
+    ).where(F.col("id").isNotNull())
 
 
 def parse_id(piece: Column) -> Column:
-    """One comma-separated piece of a JSON array of strings → the string, null for an empty array."""
-    inner = F.btrim(piece, F.lit("[] \t\r\n"))
-    return F.get(F.from_json(F.concat(F.lit("["), inner, F.lit("]")), "array<string>"), F.lit(0))
+    """One comma-separated piece of a JSON array of strings → the string, null for an empty array, null or no string."""
+    return F.get(F.from_json(F.concat(F.lit("["), _inner(piece), F.lit("]")), "array<string>"), F.lit(0))
+
+
+def _inner(piece: Column) -> Column:
+    return F.btrim(piece, F.lit("[] \t\r\n"))

@@ -4,7 +4,7 @@ from itertools import groupby
 import pytest
 
 from mailpolicy.operators import curves
-from mailpolicy.sources.counts import parse_include_counts, parse_server_counts, read_include_counts
+from mailpolicy.sources.counts import include_count_rejects, parse_include_counts, parse_server_counts, read_include_counts, server_count_rejects
 
 
 def values(spark, xs):
@@ -72,12 +72,15 @@ def test_series_do_not_mix(spark):
 
 
 def test_include_counts(lines):
-    df = parse_include_counts(lines("0 _spf.p1.net 120", " 1\ta.net  7 ", "2 a.net x", "3 b.net", "4 c.net 1 2", ""))
-    assert points(df, "ind", "domain", "n") == [(0, "_spf.p1.net", 120), (1, "a.net", 7)]
+    given = lines("0 _spf.p1.net 120", " 1\ta.net  7 ", "2 a.net x", "3 b.net", "4 c.net 1 2", "", "2147483648 d.net 5", "x e.net 9")
+    df = parse_include_counts(given)
+    assert points(df, "ind", "domain", "n") == [("0", "_spf.p1.net", 120), ("1", "a.net", 7), ("2147483648", "d.net", 5), ("x", "e.net", 9)]
+    assert points(include_count_rejects(given), "value") == [("",), ("2 a.net x",), ("3 b.net",), ("4 c.net 1 2",)]
 
 
 def test_server_counts(lines):
     assert points(parse_server_counts(lines("b6d7 51 31", "x 1")), "server_id", "total", "void") == [("b6d7", 51, 31)]
+    assert points(server_count_rejects(lines("b6d7 51 31", "x 1", "y 1 z")), "value") == [("x 1",), ("y 1 z",)]
 
 
 def test_last_line_of_a_domain_wins(spark, tmp_path):

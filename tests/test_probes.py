@@ -61,6 +61,16 @@ def test_ids_keep_their_order_over_file_splits(spark, tmp_path):
     assert querylog.read_ids(spark, str(path)).count() == 0
 
 
+def test_no_id_is_lost(spark, tmp_path):
+    path = tmp_path / "ids.json"
+    path.write_text('["aa", null, "cc"]')
+    assert sorted((r.pos, r.id) for r in querylog.read_ids(spark, str(path)).collect()) == [(0, "aa"), (2, "cc")]
+    for broken in ('["aa","b,b","cc"]', '["aa" "bb","cc"'):
+        path.write_text(broken)
+        with pytest.raises(Exception, match="not one string"):
+            querylog.read_ids(spark, str(path)).collect()
+
+
 def frame(spark, ids):
     return spark.createDataFrame(ids, "pos bigint, id string")
 

@@ -224,3 +224,34 @@ def test_message_rows(lines):
     df = parse_reports(lines(line("a", entry(errors=["x", "y"]), {"b": entry(errors=["z"])}), line("c")))
     found = reports.messages(df, "errors")
     assert as_set(reports.message_rows(found)) == {("a", "a", "x"), ("a", "a", "y"), ("a", "b", "z")}
+
+
+@pytest.mark.parametrize("mode", ["strict", "reference"])
+def test_a_name_with_very_many_reports_is_split(spark, mode):
+    """The final plan has a join that the planner split, and the rows are those of the unsplit one."""
+    rows = spark.range(60_000).selectExpr(
+        "if(id % 5 = 0, concat('q', id), 'hot') AS query", "id div 2 AS line_id", "sha2(string(id div 2), 512) AS outcome"
+    )
+    names = spark.range(0, 60_000, 5).selectExpr("explode(array(concat('q', id), 'hot')) AS name").distinct()
+    names = names.union(names.where("name = 'hot'"))
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    old = {k: spark.conf.get(k) for k in settings}
+    plain = reports.restrict(rows, names, mode).selectExpr("count(*)", "sum(copies)", "sum(line_id)").first()
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = reports.restrict(rows.repartition(8), names.repartition(8), mode)
+        df.write.format("noop").mode("overwrite").save()
+        got = df.selectExpr("count(*)", "sum(copies)", "sum(line_id)").first()
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == plain
+    assert "skew=true" in plan.split("Initial Plan")[0]

@@ -371,6 +371,30 @@ def test_compact_windows_cover_every_passage(n, top, least):
             assert len(covering) == 1 and h[c[covering[0]]] == h[i : j + 1].min()
 
 
+def test_longest_run_among_many_places():
+    rng = np.random.default_rng(3)
+    for kinds in (1, 2, 3, 50):
+        a, b = (rng.integers(0, kinds, n).astype("<u4") for n in (150, 400))
+        b[200:260] = a[40:100]
+        runs = substring._Runs(a, b)
+        for i in range(0, 150, 7):
+            places = np.flatnonzero(b == a[i])
+            if len(places):
+                best = max((substring._common(a, b, i, j, 150), -j) for j in places.tolist())
+                assert runs.longest(i, 150, places) == (best[0], -best[1])
+    same = np.zeros(100_000, "<u4")
+    assert substring._Runs(same, same).longest(0, 100_000, np.arange(100_000)) == (100_000, 0)
+
+
+def test_passage_behind_many_copies_of_its_beginning(spark):
+    """The passage begins with a line that the other text has forty times before it goes on."""
+    line, rest = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("l", 30), ("r", 28)))
+    other = " ".join(f"o{i}" for i in range(90))
+    texts = [(1, f"{(line + ' | ') * 40} {line} {rest} {other}"), (2, f"{' '.join(f'p{i}' for i in range(70))} {line} {rest}")]
+    found = substring.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.keeper_id, r.first_word, r.end_word, r.keeper_first) for r in found] == [(2, 1, 70, 128, 1200)]
+
+
 def test_exact_repeats_of_given_documents_are_found(spark, given):
     """Brute force: every pair of documents that share 46 shingles in a row is linked through common keepers."""
     found = queries.op7_substring(spark, SF).collect()

@@ -12,10 +12,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table to make text from; a table read in fewer tasks than there are cores is spread over them first."""
-    df = table(spark, sf_dir, name).select(*columns)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Columns of a table to make text from, spread over all cores: text is much longer than the columns it is made from."""
+    return table(spark, sf_dir, name).select(*columns).repartition(spark.sparkContext.defaultParallelism)
 
 
 def spf_lines(spark: SparkSession, sf_dir: str, snapshot: int) -> DataFrame:
@@ -171,3 +169,86 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         """if(e % 500 = 499, 'short line', concat(date_format(ts, 'dd-MMM-yyyy HH:mm:ss.SSS'), ' client @0x7f 192.0.2.', e % 250,
             '#5353 (', qname, '): query: ', qname, ' IN ', if(e % 13 = 0, 'A', 'TXT'), ' -E(0) (203.0.113.1)')) AS value""",
     )
+
+
+def odd_spf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT scan lines, one per part, of eight shapes that look like a policy or a mechanism and are none, or the other way round."""
+    base = _spread(spark, sf_dir, "part", "p_partkey").selectExpr("p_partkey AS k", f"{ODD_NAME} AS name")
+    answers = """CASE k % 8
+        WHEN 0 THEN '{"type":"TXT","answer":"v=spf10 a"}'
+        WHEN 1 THEN '{"type":"TXT","answer":"V=SPF1 MX -ALL"}'
+        WHEN 2 THEN '{"type":"TXT","answer":"v=spf1 a/24 ~all"}'
+        WHEN 3 THEN '{"type":"TXT","answer":"v=spf1 mxfoo allx"}'
+        WHEN 4 THEN concat('{"type":"TXT","answer":"v=spf1 include:not', name, ' -all"}')
+        WHEN 5 THEN '{"type":"TXT","answer":"v=spf1 include: -all"}'
+        WHEN 6 THEN '{"answer":"without type"},{"type":"TXT","answer":"v=spf1 a -all"}'
+        ELSE '{"type":"TXT","answer":"v=spf1 ip4:192.0.2.1 -all"},{"answer":"without type"}' END"""
+    return base.selectExpr(
+        f"""concat('{{"name":"', name, '.","data":{{"answers":[', {answers}, ']}}}}') AS value""",
+        f"date '{FIRST}' AS snapshot_date",
+    )
+
+
+ODD_NAME = "concat(if(k % 3 = 0, 'w.', ''), 'n', k, if(k % 3 = 1, '.co.se', '.com'))"
+
+
+def odd_mx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MX scan lines, one per part; of every tenth the records are cut off."""
+    base = _spread(spark, sf_dir, "part", "p_partkey").selectExpr("p_partkey AS k", f"{ODD_NAME} AS name")
+    return base.selectExpr(
+        "k",
+        """concat('["', name, '.",[{"data":{"exchanges":[{"type":"MX","name":"m.net"}', if(k % 10 = 9, '', ']}}]]')) AS value""",
+        f"date '{FIRST}' AS snapshot_date",
+    )
+
+
+def customer_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report lines, one per order, by customer: many lines of a name, some of them equal; one label has two classes."""
+    warnings = """CASE o % 3
+        WHEN 0 THEN '["Unable to look up TXT record for \\'t.com\\'"]'
+        WHEN 1 THEN '["Unable to look up TXT record of \\'t.com\\'"]'
+        ELSE '["Unable to look up TXT record of \\'t.com\\'", "Unable to look up TXT record for \\'t.com\\'"]' END"""
+    orders = _spread(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    return orders.selectExpr("o_orderkey AS o", "concat('c', o_custkey, '.com') AS q").selectExpr(
+        f"""concat('{{"query":"', q, '","error":{{}},"lookups":', o % 15, ',"expanded":{{"', q,
+            '":{{"spf":"v=spf1 -all","errors":[],"warnings":', {warnings}, '}}}}}}') AS value"""
+    )
+
+
+def customer_name_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name list of the customers, every fourth one twice."""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "explode(array_repeat(concat('c', c_custkey, '.com.'), if(c_custkey % 4 = 0, 2, 1))) AS value"
+    )
+
+
+def log_lines_dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query-log lines of which some have a date that no calendar has: ``e, value``."""
+    return log_lines(spark, sf_dir).selectExpr(
+        "e", "if(e % 97 = 5, regexp_replace(value, '^[0-9]+-[A-Za-z]+', '31-Feb'), value) AS value"
+    )
+
+
+def numbered_id_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the server id list as they come from a split file: ``value, split, row``; every fifth is null."""
+    return id_pieces(spark, sf_dir).selectExpr(
+        "if(pos % 5 = 4, ' null', value) AS value", "pos div 4 AS split", "pos AS row"
+    )
+
+
+def server_count_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``server total void`` lines, one per user; of every ninth the total is no number."""
+    counts = table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.count("*").alias("total"), F.count_if(F.col("event_type") == "error").alias("void")
+    )
+    return counts.selectExpr(
+        "user_id", "concat('u', user_id, if(user_id % 9 = 8, ' many ', concat('  ', total, ' ')), void) AS value"
+    )
+
+
+def include_lines_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Include-count lines, one per customer: some without an index, some without a number."""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS k",
+        "concat(if(c_custkey % 7 = 0, '', concat(c_custkey, ' ')), '_spf.p', c_custkey, '.net ', if(c_custkey % 11 = 0, 'x', string(c_custkey))) AS value",
+    )

@@ -11,7 +11,7 @@ from mailpolicy.sources.querylog import log_rejects, parse_all, parse_id, parse_
 _SHORT = 3
 
 
-def _ids(spark, sf_dir):
+def ids(spark, sf_dir):
     return id_pieces(spark, sf_dir).select("pos", parse_id(F.col("value")).alias("id"))
 
 
@@ -19,26 +19,26 @@ def _log(spark, sf_dir):
     return log_lines(spark, sf_dir).drop("e")
 
 
-def _servers(spark, sf_dir, mode):
-    return probes.server_counts(parse_log(_log(spark, sf_dir)), _ids(spark, sf_dir), DOMAIN, mode)
+def servers(spark, sf_dir, mode):
+    return probes.server_counts(parse_log(_log(spark, sf_dir)), ids(spark, sf_dir), DOMAIN, mode)
 
 
 def _over(build, mode):
-    return lambda spark, sf_dir: build(_servers(spark, sf_dir, mode))
+    return lambda spark, sf_dir: build(servers(spark, sf_dir, mode))
 
 
 def _limits(build, mode):
-    return lambda spark, sf_dir: build(_servers(spark, sf_dir, mode), mode)
+    return lambda spark, sf_dir: build(servers(spark, sf_dir, mode), mode)
 
 
 def _labels(mode, digits):
-    return lambda spark, sf_dir: probes.labels(_ids(spark, sf_dir), mode, digits)
+    return lambda spark, sf_dir: probes.labels(ids(spark, sf_dir), mode, digits)
 
 
 def _funnel(mode):
     def build(spark, sf_dir):
         counts = probes.label_counts(parse_all(_log(spark, sf_dir)), DOMAIN, mode)
-        return probes.funnel(counts, _ids(spark, sf_dir), mode)
+        return probes.funnel(counts, ids(spark, sf_dir), mode)
 
     return build
 
@@ -52,8 +52,8 @@ def _curve(servers):
 
 
 def _scanned_and_responding(spark, sf_dir):
-    scanned = probes.scanned(_ids(spark, sf_dir)).select(F.lit("scanned").alias("measure"), "n")
-    limits = probes.limits(_servers(spark, sf_dir, STRICT))
+    scanned = probes.scanned(ids(spark, sf_dir)).select(F.lit("scanned").alias("measure"), "n")
+    limits = probes.limits(servers(spark, sf_dir, STRICT))
     return scanned.unionByName(limits.select(F.lit("responding").alias("measure"), F.col("responding").alias("n")))
 
 
@@ -88,7 +88,7 @@ QUERIES = {
 
 # --- the same answers from the base columns
 
-_EVENTS = f"""WITH ev AS (
+EVENTS = f"""WITH ev AS (
   SELECT event_id AS e, ts, substr(md5(CAST(CAST(floor(sqrt(user_id)) AS BIGINT) AS VARCHAR)), 1, 16) AS id,
          CAST(event_id % 51 AS INTEGER) AS no, CAST(1 + (event_id // 51) % 2 AS INTEGER) AS test FROM events),
 labelled AS (SELECT *, substr(md5(no || '.test' || test || '.' || id), 1, 8) AS label FROM ev),
@@ -104,7 +104,7 @@ def _found(mode):
 def _servers_sql(mode):
     """``s``: one row per server; as eight-digit labels do not meet in these tables, a label is its own event's."""
     indicators = ", ".join(str(i) for i in probes.INDICATORS)
-    return f"""{_EVENTS}, hit AS (SELECT * FROM log WHERE NOT bad AND rr_type = 'TXT' AND {_found(mode)}),
+    return f"""{EVENTS}, hit AS (SELECT * FROM log WHERE NOT bad AND rr_type = 'TXT' AND {_found(mode)}),
     s AS (SELECT id AS server_id,
       COUNT(*) FILTER (WHERE test = 1) AS total1, COUNT(DISTINCT no) FILTER (WHERE test = 1) AS unique1,
       COUNT(*) FILTER (WHERE test = 2) AS total2, COUNT(DISTINCT no) FILTER (WHERE test = 2) AS unique2,
@@ -146,7 +146,7 @@ def _limits_sql(mode):
 
 def _funnel_sql(mode):
     hit = "NOT bad AND rr_type = 'TXT'"
-    return f"""{_EVENTS} SELECT COUNT(*) AS lines, COUNT(*) FILTER (WHERE bad) AS unreadable,
+    return f"""{EVENTS} SELECT COUNT(*) AS lines, COUNT(*) FILTER (WHERE bad) AS unreadable,
       COUNT(*) FILTER (WHERE {hit}) AS txt_rows, COUNT(*) FILTER (WHERE {hit} AND {_found(mode)}) AS mapped_rows FROM log"""
 
 
@@ -155,11 +155,11 @@ probes AS (SELECT pos, substr(md5(CAST(pos AS VARCHAR)), 1, 16) AS id, CAST(no A
   FROM ids, range(51) AS n(no), (VALUES (1), (2)) AS t(test))"""
 
 
-def _labels_sql(mode, digits):
+def labels_sql(mode, digits, moved=0):
     labelled = f"""{_IDS}, labelled AS (
         SELECT *, substr(md5(no || '.test' || test || '.' || id), 1, {digits}) AS label FROM probes)"""
     if mode == REFERENCE:
-        keep = "row_number() OVER (PARTITION BY label ORDER BY pos < 1000000 DESC, pos DESC, no DESC, test DESC) = 1"
+        keep = f"row_number() OVER (PARTITION BY label ORDER BY pos + {moved} < 1000000 DESC, pos DESC, no DESC, test DESC) = 1"
     else:
         keep = "count(*) OVER (PARTITION BY label) = 1"
     return f"{labelled} SELECT label, id, no, test FROM labelled QUALIFY {keep}"
@@ -179,12 +179,12 @@ def _cdf_sql():
 
 
 SQL = {
-    "log_parse": f"""{_EVENTS} SELECT e, strftime(ts, '%d-%b-%Y %H:%M:%S.%g') AS ts_text,
+    "log_parse": f"""{EVENTS} SELECT e, strftime(ts, '%d-%b-%Y %H:%M:%S.%g') AS ts_text,
       sent || '.{DOMAIN}' AS qname, rr_type, '192.0.2.' || (e % 250) AS client_ip, '-E(0)' AS flags FROM log WHERE NOT bad""",
-    "log_rejects": f"{_EVENTS} SELECT e, 'short line' AS value FROM log WHERE bad",
-    "probe_labels": _labels_sql(STRICT, probes.LABEL_DIGITS),
-    "probe_labels_short": _labels_sql(REFERENCE, _SHORT),
-    "probe_labels_short_strict": _labels_sql(STRICT, _SHORT),
+    "log_rejects": f"{EVENTS} SELECT e, 'short line' AS value FROM log WHERE bad",
+    "probe_labels": labels_sql(STRICT, probes.LABEL_DIGITS),
+    "probe_labels_short": labels_sql(REFERENCE, _SHORT),
+    "probe_labels_short_strict": labels_sql(STRICT, _SHORT),
     "ambiguous_labels_short": _ambiguous_sql(),
     "log_funnel": _funnel_sql(REFERENCE),
     "log_funnel_strict": _funnel_sql(STRICT),

@@ -17,7 +17,7 @@ from mailpolicy.operators import deployment, terms
 from mailpolicy.sources.scans import parse_mx, parse_spf, spf_rejects
 
 
-def _summary(mode, snapshots=(1,), zones=None):
+def summary(mode, snapshots=(1,), zones=None):
     def build(spark, sf_dir):
         spf = mx = None
         for v in snapshots:
@@ -30,7 +30,7 @@ def _summary(mode, snapshots=(1,), zones=None):
 
 def _metrics(mode, metrics, name="metric"):
     def build(spark, sf_dir):
-        table = _summary(mode)(spark, sf_dir).where(F.col("metric").isin(*metrics))
+        table = summary(mode)(spark, sf_dir).where(F.col("metric").isin(*metrics))
         return table.select("tld", F.col("metric").alias(name), "n")
 
     return build
@@ -76,13 +76,13 @@ def _names(spark, sf_dir):
 
 
 def _shares(spark, sf_dir):
-    shares = deployment.shares(_summary(STRICT, (1, 2), deployment.ZONES)(spark, sf_dir))
+    shares = deployment.shares(summary(STRICT, (1, 2), deployment.ZONES)(spark, sf_dir))
     return _with_date_text(shares).withColumn("share", F.round("share", 6))
 
 
 def _change(mode):
     def build(spark, sf_dir):
-        change = deployment.share_change(_summary(mode, (1, 2))(spark, sf_dir), FIRST, LAST)
+        change = deployment.share_change(summary(mode, (1, 2))(spark, sf_dir), FIRST, LAST)
         return change.select(
             "tld",
             "mechanism",
@@ -96,7 +96,7 @@ def _change(mode):
 QUERIES = {
     "scan_total_by_tld": _metric(REFERENCE, "total"),
     "scan_joined_total": lambda spark, sf: _with_date_text(
-        deployment.joined_total(_summary(REFERENCE, (1, 2))(spark, sf))
+        deployment.joined_total(summary(REFERENCE, (1, 2))(spark, sf))
     ),
     "scan_parse_rejects": lambda spark, sf: spf_rejects(spf_lines(spark, sf, 1)).select("k", "value"),
     "scan_names": _names,
@@ -110,12 +110,12 @@ QUERIES = {
     "external_include_by_tld": _metric(REFERENCE, "external_include"),
     "external_include_by_tld_strict": _metric(STRICT, "external_include"),
     "snapshot_summary_long": lambda spark, sf: _with_date_text(
-        _summary(REFERENCE, (1, 2), deployment.ZONES)(spark, sf)
+        summary(REFERENCE, (1, 2), deployment.ZONES)(spark, sf)
     ),
     "snapshot_summary_wide": lambda spark, sf: _with_date_text(
-        deployment.wide(_summary(REFERENCE, (1, 2))(spark, sf))
+        deployment.wide(summary(REFERENCE, (1, 2))(spark, sf))
     ),
-    "snapshot_table1": lambda spark, sf: deployment.table1(_summary(REFERENCE, (1, 2))(spark, sf)),
+    "snapshot_table1": lambda spark, sf: deployment.table1(summary(REFERENCE, (1, 2))(spark, sf)),
     "mechanism_share": _shares,
     "mechanism_change": _change(REFERENCE),
     "mechanism_change_strict": _change(STRICT),
@@ -127,14 +127,14 @@ QUERIES = {
 
 # --- the same answers from the base columns
 
-_NAMES = """names AS (
+NAMES = """names AS (
   SELECT c_custkey AS k, c_mktsegment AS segment,
          ['com', 'net', 'org', 'se', 'io'][CAST(c_custkey % 5 AS INTEGER) + 1] AS tld,
          'd' || c_custkey || '.' || ['com', 'net', 'org', 'se', 'io'][CAST(c_custkey % 5 AS INTEGER) + 1] AS name
   FROM customer)"""
 
 # one row per name that has a TXT and an MX record, per snapshot
-_JOINED = f"""WITH {_NAMES}, joined AS (
+_JOINED = f"""WITH {NAMES}, joined AS (
   SELECT CASE v WHEN 1 THEN '{FIRST}' ELSE '{LAST}' END AS snapshot_date, v, k, tld, k % (2 + v) <> 0 AS pol
   FROM names, (VALUES (1), (2)) AS s(v)
   WHERE k % 50 <> 49 AND k % 6 <> 1)"""
@@ -256,7 +256,7 @@ def _terms_sql(mode):
             term("k % 37 <> 0", "-", "'all'", "'all'"),
         ]
     )
-    return f"""WITH {_NAMES}, listed AS (
+    return f"""WITH {NAMES}, listed AS (
         SELECT name, tld, [t FOR t IN [{listed}] IF t IS NOT NULL] AS terms
         FROM names WHERE k % 50 <> 49 AND k % 3 <> 0),
       rows AS (SELECT name, tld, terms, UNNEST(generate_series(1, len(terms))) AS i FROM listed)
@@ -266,7 +266,7 @@ def _terms_sql(mode):
 
 
 # lines of a name on either side, and what its one or two policies hold
-_FANOUT = f"""WITH {_NAMES}, joined AS (
+_FANOUT = f"""WITH {NAMES}, joined AS (
   SELECT k, tld, name, 1 AS v, k % 3 <> 0 AS pol, segment = 'HOUSEHOLD' AS twice,
          CASE WHEN segment = 'HOUSEHOLD' THEN 2 ELSE 1 END AS spf_lines,
          CASE WHEN segment IN ('HOUSEHOLD', 'MACHINERY') THEN 2 ELSE 1 END AS mx_lines
@@ -293,8 +293,8 @@ SQL = {
     "scan_total_by_tld": _one_by_tld(REFERENCE, "total"),
     "scan_joined_total": f"{_JOINED} SELECT snapshot_date, COUNT(*) AS n FROM joined GROUP BY snapshot_date",
     "scan_parse_rejects": "SELECT c_custkey AS k, '{broken' AS value FROM customer WHERE c_custkey % 50 = 49",
-    "scan_names": f"WITH {_NAMES} SELECT name, tld, name AS sld FROM names WHERE k % 50 <> 49",
-    "mx_present_names": f"WITH {_NAMES} SELECT name FROM names WHERE k % 6 <> 1",
+    "scan_names": f"WITH {NAMES} SELECT name, tld, name AS sld FROM names WHERE k % 50 <> 49",
+    "mx_present_names": f"WITH {NAMES} SELECT name FROM names WHERE k % 6 <> 1",
     "policy_deployed_by_tld": _one_by_tld(REFERENCE, "deployed"),
     "policy_deployed_by_tld_strict": _one_by_tld(STRICT, "deployed"),
     "policy_terms": _terms_sql(REFERENCE),

@@ -110,6 +110,16 @@ def label_counts(log: DataFrame, domain: str, mode: str = STRICT) -> DataFrame:
     )
 
 
+def matched(counts: DataFrame, ids: DataFrame, mode: str = STRICT) -> DataFrame:
+    """``label_counts`` with ``slot``, the probe a label stands for, null if none (JN3).
+
+    ``servers`` and ``funnel`` take it instead of ``label_counts``, so that labels are worked out once for both.
+    """
+    if "slot" in counts.columns:
+        return counts
+    return counts.join(_slots(_ranked(ids), mode).hint("merge"), "label", "left")
+
+
 def servers(counts: DataFrame, ids: DataFrame, mode: str = STRICT) -> DataFrame:
     """One row per server seen in ``label_counts`` (AGG26-31, AGG40).
 
@@ -117,7 +127,7 @@ def servers(counts: DataFrame, ids: DataFrame, mode: str = STRICT) -> DataFrame:
     for one probe, a distinct probe number is a row and no distinct count is needed.
     """
     ranked = _ranked(ids)
-    seen = counts.join(_slots(ranked, mode).hint("merge"), "label").select(
+    seen = matched(counts, ids, mode).where(F.col("slot").isNotNull()).select(
         _rank().alias("rank"), _no().alias("no"), _test().alias("test"), "n"
     )
     n, no = F.col("n"), F.col("no")
@@ -151,7 +161,7 @@ def server_counts(log: DataFrame, ids: DataFrame, domain: str, mode: str = STRIC
 
 def funnel(counts: DataFrame, ids: DataFrame, mode: str = STRICT) -> DataFrame:
     """``lines, unreadable, txt_rows, mapped_rows`` of a log (AGG32), from ``label_counts`` of ``querylog.parse_all``."""
-    found = counts.join(_slots(_ranked(ids), mode).hint("merge"), "label", "left")
+    found = matched(counts, ids, mode)
 
     def total(col: str, cond: Column | None = None) -> Column:
         counted_if = F.col(col) if cond is None else F.when(cond, F.col(col))

@@ -37,6 +37,13 @@ def explode_terms(spf: DataFrame, mode: str = STRICT) -> DataFrame:
     )
 
 
+def multiple_policies(spf: DataFrame, mode: str = STRICT) -> DataFrame:
+    """Names with a record that holds several policies, which no receiver may use (Q5): the record's columns, ``n_policies``."""
+    carried = [c for c in spf.columns if c != "answers"]
+    counted = select_once(spf.select(*carried, "answers"), n_policies=F.size(_policies(F.col("answers"), mode)))
+    return counted.where(F.col("n_policies") > 1).select(*carried, "n_policies")
+
+
 def flags(spf: DataFrame, mode: str = STRICT) -> DataFrame:
     """One row per policy, and one for a record without any.
 

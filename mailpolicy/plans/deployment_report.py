@@ -7,25 +7,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mailpolicy import session, sinks
 from mailpolicy.modes import STRICT
-from mailpolicy.operators import deployment
+from mailpolicy.operators import deployment, terms
 from mailpolicy.sources import scans, summary
 
 
-def run(spark: SparkSession, snapshots: list[tuple[str, str, str]], out: str, mode: str = STRICT) -> dict[str, DataFrame]:
+def run(
+    spark: SparkSession, snapshots: list[tuple[str, str, str]], out: str, mode: str = STRICT, zones: list[str] | None = None
+) -> dict[str, DataFrame]:
     """``snapshots`` are ``(date, TXT path, MX path)``; all of them are summarised in one job.
 
-    The summary is written once and the reports are read back from it, a few rows per top-level domain.
+    ``zones`` limits the top-level domains before anything is shuffled. The summary is written once and the reports are read back from it, a few rows per top-level domain.
     """
     spf = reduce(DataFrame.unionByName, [scans.read_spf(spark, txt, date, mode) for date, txt, _ in snapshots])
     mx = reduce(DataFrame.unionByName, [scans.read_mx(spark, mx, date, mode) for date, _, mx in snapshots])
-    sinks.write_summary(deployment.summary(spf, mx, mode), f"{out}/summary")
+    sinks.write_summary(deployment.summary(spf, mx, mode, zones), f"{out}/summary")
 
     dates = sorted(date for date, _, _ in snapshots)
     stored = summary.read_summary(spark, f"{out}/summary", dates)
     sinks.write_wide_summary(deployment.wide(stored), f"{out}/summary_wide")
     return {
-        "table1": deployment.table1(stored),
+        "table1": deployment.table1(summary.read_summary(spark, f"{out}/summary", dates[-1:])),
         "table2": deployment.share_change(stored, dates[0], dates[-1]),
+        "multiple_policies": terms.multiple_policies(spf, mode),
     }
 
 
@@ -34,9 +37,10 @@ def main() -> None:
     parser.add_argument("--snapshot", nargs=3, action="append", required=True, metavar=("DATE", "TXT", "MX"))
     parser.add_argument("--out", required=True)
     parser.add_argument("--mode", default=STRICT)
+    parser.add_argument("--zones", nargs="+", metavar="TLD")
     args = parser.parse_args()
     spark = session.builder("deployment-report").getOrCreate()
-    for name, table in run(spark, [tuple(s) for s in args.snapshot], args.out, args.mode).items():
+    for name, table in run(spark, [tuple(s) for s in args.snapshot], args.out, args.mode, args.zones).items():
         print(name)
         table.show(100, truncate=False)
 

@@ -12,13 +12,19 @@ from mailpolicy.sources import querylog
 
 
 def run(
-    spark: SparkSession, log_paths: list[str], ids_path: str, domain: str, out: str, mode: str = STRICT
+    spark: SparkSession, log_paths: list[str], ids_path: str, domain: str, out: str, mode: str = STRICT,
+    until: str | None = None,
 ) -> dict[str, DataFrame]:
-    """The log is read once, into a table of its probe labels; the rest comes from that table."""
+    """The log is read once and meets the labels once, in a table of its probe labels; the rest comes from that table.
+
+    ``until`` leaves out log lines of that date and later. ``ambiguous`` is the number of labels strict mode leaves out;
+    it is not worked out before it is asked for.
+    """
     ids = querylog.read_ids(spark, ids_path)
-    log = querylog.parse_all(querylog.read_log_lines(spark, log_paths))
-    probes.label_counts(log, domain, mode).write.mode("overwrite").parquet(f"{out}/labels")
-    labels = spark.read.schema("label string, n bigint, unreadable bigint").parquet(f"{out}/labels")
+    log = querylog.parse_all(querylog.read_log_lines(spark, log_paths), until)
+    found = probes.matched(probes.label_counts(log, domain, mode), ids, mode)
+    found.write.mode("overwrite").parquet(f"{out}/labels")
+    labels = spark.read.schema(found.schema).parquet(f"{out}/labels")
 
     counted = probes.servers(labels, ids, mode)
     counted.write.mode("overwrite").parquet(f"{out}/servers")
@@ -32,6 +38,7 @@ def run(
     return {
         "scanned": probes.scanned(ids),
         "funnel": probes.funnel(labels, ids, mode),
+        "ambiguous": probes.ambiguous_labels(ids),
         "limits": probes.limits(servers, mode),
         "server_cdf": curve,
     }
@@ -44,9 +51,10 @@ def main() -> None:
     parser.add_argument("--domain", required=True)
     parser.add_argument("--out", required=True)
     parser.add_argument("--mode", default=STRICT)
+    parser.add_argument("--until", metavar="DATE")
     args = parser.parse_args()
     spark = session.builder("server-report").getOrCreate()
-    for name, table in run(spark, args.logs, args.ids, args.domain, args.out, args.mode).items():
+    for name, table in run(spark, args.logs, args.ids, args.domain, args.out, args.mode, args.until).items():
         print(name)
         table.show(100, truncate=False)
 

@@ -17,7 +17,12 @@ def write_summary(summary_table: DataFrame, path: str) -> None:
 
 def write_wide_summary(wide: DataFrame, path: str) -> None:
     """Wide summary lines, fields separated by a space, snapshots in order (SNK1)."""
-    _write_lines(wide.orderBy("snapshot_date"), path)
+    summary_lines(wide.orderBy("snapshot_date")).write.mode("overwrite").text(path)
+
+
+def summary_lines(wide: DataFrame) -> DataFrame:
+    """``value``: the rows of the wide summary as text (D10)."""
+    return _spaced(wide)
 
 
 def write_histogram(histogram: DataFrame, path: str) -> None:
@@ -44,7 +49,12 @@ _COPIES = 1000
 
 
 def write_messages(per_report: DataFrame, path: str) -> None:
-    """``query {domain: [message…]}`` lines of ``reports.messages``, each as often as its report counts (SNK5).
+    """``message_lines`` of ``reports.messages`` (SNK5)."""
+    message_lines(per_report).write.mode("overwrite").text(path)
+
+
+def message_lines(per_report: DataFrame) -> DataFrame:
+    """``value``: ``query {domain: [message…]}`` lines, each as often as its report counts.
 
     Copies are made in chunks that are spread over the tasks in between, so that a report that counts very often is
     written by many of them.
@@ -55,12 +65,21 @@ def write_messages(per_report: DataFrame, path: str) -> None:
         chunks = lines.select("*", F.expr(f"explode(sequence(0L, (copies - 1) div {_COPIES})) AS chunk")).hint("rebalance")
         copies = F.expr(f"sequence(1L, least({_COPIES}L, copies - chunk * {_COPIES}))")
         lines = chunks.select("value", F.explode(copies)).select("value")
-    lines.write.mode("overwrite").text(path)
+    return lines
 
 
 def write_server_totals(totals: DataFrame, path: str) -> None:
     """``server_id max_total void_total`` lines (SNK6)."""
-    _write_lines(totals.select("server_id", "max_total", "void_total"), path)
+    server_total_lines(totals).write.mode("overwrite").text(path)
+
+
+def server_total_lines(totals: DataFrame) -> DataFrame:
+    """``value``: the totals as text."""
+    return _spaced(totals.select("server_id", "max_total", "void_total"))
+
+
+def _spaced(df: DataFrame) -> DataFrame:
+    return df.select(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("value"))
 
 
 def _write_lines(df: DataFrame, path: str) -> None:

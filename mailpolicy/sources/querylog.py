@@ -27,9 +27,7 @@ def parse_log(lines: DataFrame, until: str | None = None) -> DataFrame:
     before it.
     """
     carried = [c for c in lines.columns if c != "value"]
-    split = _split_lines(lines).where(F.col("_date").isNotNull())
-    if until is not None:
-        split = split.where(F.col("_date") < F.lit(until).cast("date"))
+    split = _before(_split_lines(lines).where(F.col("_date").isNotNull()), until)
     return split.select(*carried, *_fields())
 
 
@@ -38,12 +36,19 @@ def log_rejects(lines: DataFrame) -> DataFrame:
     return _split_lines(lines).where(F.col("_date").isNull()).drop("_tokens", "_date")
 
 
-def parse_all(lines: DataFrame) -> DataFrame:
-    """As ``parse_log``, with every line kept: the fields of unreadable ones are null."""
+def _before(split: DataFrame, until: str | None) -> DataFrame:
+    """Lines of dates before ``until``, and those without a date."""
+    if until is None:
+        return split
+    return split.where(F.coalesce(F.col("_date") < F.lit(until).cast("date"), F.lit(True)))
+
+
+def parse_all(lines: DataFrame, until: str | None = None) -> DataFrame:
+    """As ``parse_log``, with unreadable lines kept: their fields are null."""
     carried = [c for c in lines.columns if c != "value"]
     readable = F.col("_date").isNotNull()
     fields = [F.when(readable, f).alias(n) for f, n in zip(_fields(), FIELDS)]
-    return _split_lines(lines).select(*carried, *fields)
+    return _before(_split_lines(lines), until).select(*carried, *fields)
 
 
 FIELDS = ["ts_text", "qname", "rr_type", "client_ip", "flags"]
@@ -80,17 +85,23 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     The file is cut at its commas and not read as one value, so that it splits over tasks (a gzip file is one task by
     nature). Ids are hex digests and hold no comma; a piece that is neither a string nor null, as a string with a comma
     makes, ends the run with an error, so that no id is lost and no position shifts. A null keeps its position, and is
-    no id. Positions are counted within a file split, then moved up by the pieces of the splits before it.
+    no id.
     """
-    pieces = select_once(
+    return number_ids(
         spark.read.option("lineSep", ",").text(path).select(
             "value",
             F.col("_metadata.file_block_start").alias("split"),
             F.monotonically_increasing_id().alias("row"),
-        ),
-        id=parse_id(F.col("value")),
-        _inner=_inner(F.col("value")),
+        )
     )
+
+
+def number_ids(texts: DataFrame) -> DataFrame:
+    """Pieces ``value, split, row`` of a JSON array → ``pos, id``, as ``read_ids``.
+
+    Positions are counted by ``row`` within a split, then moved up by the pieces of the splits before it.
+    """
+    pieces = select_once(texts, id=parse_id(F.col("value")), _inner=_inner(F.col("value")))
     lost = F.concat(F.lit("not one string of a JSON array: "), F.col("value"))
     known = F.when(F.col("id").isNotNull() | (F.col("_inner") == "null"), F.col("id")).otherwise(F.raise_error(lost))
     ids = pieces.where(F.col("_inner") != "").select(known.alias("id"), "split", "row")

@@ -26,8 +26,7 @@ def parse_reports(lines: DataFrame) -> DataFrame:
     ``line_id`` is a digest of the whole line. It stands for the text where exact copies of a line are taken out, so
     that a shuffle moves 32 bytes and not the report. ``error`` is null unless the report holds a text there.
     """
-    report = F.when(closes(F.col("value"), "}"), F.from_json("value", REPORT, {"allowSingleQuotes": "false"}))
-    parsed = select_once(lines, _report=report)
+    parsed = _parsed(lines)
     field = F.col("_report")
     is_text = F.schema_of_variant(field["error"]) == "STRING"
     return parsed.where(field["query"].isNotNull()).select(
@@ -39,6 +38,16 @@ def parse_reports(lines: DataFrame) -> DataFrame:
     )
 
 
+def report_rejects(lines: DataFrame) -> DataFrame:
+    """The lines that ``parse_reports`` leaves out, as they came."""
+    return _parsed(lines, "query string").where(F.col("_report")["query"].isNull()).drop("_report")
+
+
+def _parsed(lines: DataFrame, schema: str = REPORT) -> DataFrame:
+    report = F.when(closes(F.col("value"), "}"), F.from_json("value", schema, {"allowSingleQuotes": "false"}))
+    return select_once(lines, _report=report)
+
+
 def read_names(spark: SparkSession, paths: str | list[str], mode: str = STRICT) -> DataFrame:
     return parse_names(spark.read.text(paths), mode)
 

@@ -85,10 +85,7 @@ def parse_mx(lines: DataFrame, mode: str = STRICT) -> DataFrame:
     Reference mode drops the whole line if an exchange has no type or an MX exchange has no name.
     """
     carried = [c for c in lines.columns if c != "value"]
-    pair = _closed(F.from_json("value", "array<string>", _JSON), "]")
-    pairs = select_once(lines, _pair=pair, **_date(lines))
-    records = F.from_json(F.get("_pair", F.lit(1)), f"array<struct<data:struct<exchanges:{EXCHANGES}>>>", _JSON)
-    parsed = select_once(pairs, _name=F.get("_pair", F.lit(0)), _records=records)
+    parsed = _mx_records(lines)
 
     def any_exchange(condition) -> Column:
         return F.exists("_records", lambda r: F.coalesce(F.exists(r["data"]["exchanges"], condition), F.lit(False)))
@@ -97,3 +94,16 @@ def parse_mx(lines: DataFrame, mode: str = STRICT) -> DataFrame:
     if is_reference(mode):
         keep &= ~any_exchange(lambda x: x["type"].isNull() | ((x["type"] == "MX") & x["name"].isNull()))
     return parsed.where(keep).select(*carried, strip_dot(F.col("_name")).alias("name"))
+
+
+def mx_rejects(lines: DataFrame) -> DataFrame:
+    """The lines ``parse_mx`` cannot read, as they came: no pair of a name and records. Those without an MX exchange are none."""
+    readable = F.coalesce((F.length("_name") > 0) & F.col("_records").isNotNull(), F.lit(False))
+    return _mx_records(lines).where(~readable).drop("_pair", "_name", "_records")
+
+
+def _mx_records(lines: DataFrame) -> DataFrame:
+    pair = _closed(F.from_json("value", "array<string>", _JSON), "]")
+    pairs = select_once(lines, _pair=pair, **_date(lines))
+    records = F.from_json(F.get("_pair", F.lit(1)), f"array<struct<data:struct<exchanges:{EXCHANGES}>>>", _JSON)
+    return select_once(pairs, _name=F.get("_pair", F.lit(0)), _records=records)

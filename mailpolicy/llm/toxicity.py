@@ -29,6 +29,8 @@ WINDOW, STRIDE = 48, 32
 #: Bounds of the fit: documents of each class, and bytes of evenly spaced stretches taken of a document.
 SAMPLE, STRETCHES, STRETCH = 3000, 16, 2048
 ORDINARY_BYTES, TOXIC_BYTES = 4096, 2048
+#: Windows of ordinary documents, in the sample's hashed order, that the ordinary dictionary is trained on.
+DICTIONARY_WINDOWS = 100_000
 #: A word is toxic text if toxic documents have it this many times as often, by a likelihood ratio that is no chance among many words,
 #: and at least this share of them do.
 CONTRAST, RATIO, LEAST_SHARE = 8.0, 20.0, 0.01
@@ -116,7 +118,7 @@ def _dictionaries(sample: list[tuple[int, bytes]]) -> tuple[bytes, bytes]:
     rate = len(docs[1]) / len(docs[0])
     telling = {w for w, n in has[1].items() if n >= LEAST_SHARE * len(docs[1]) and n >= CONTRAST * rate * has[0][w] and _ratio(n, has[0][w], rate) >= RATIO}
     pieces = [b" " + b" ".join(w for w in b.split() if w in telling) + b" " for b in docs[1]]
-    ordinary = _trained(ORDINARY_BYTES, [w for b in docs[0] for w in windows(b)][:100_000], 32, 8)
+    ordinary = _trained(ORDINARY_BYTES, [w for b in docs[0] for w in windows(b)][:DICTIONARY_WINDOWS], 32, 8)
     return ordinary, _trained(TOXIC_BYTES, [p for p in pieces if len(p) > 2], 16, 6) + ordinary
 
 

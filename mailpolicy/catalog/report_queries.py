@@ -32,7 +32,7 @@ def _cdf(kept):
 
 def _message_rows(kind):
     def build(spark, sf_dir):
-        found = reports.messages(parse_reports(report_lines(spark, sf_dir)), kind)
+        found = reports.messages(parse_reports(report_lines(spark, sf_dir), [kind]), kind)
         kept = reports.restrict(found, parse_names(name_lines(spark, sf_dir)))
         return reports.message_rows(kept)
 

@@ -62,7 +62,7 @@ def _lines_by_name(kept):
 
 def _message_lines(mode):
     def build(spark, sf_dir):
-        parsed = parse_reports(fixtures.customer_report_lines(spark, sf_dir))
+        parsed = parse_reports(fixtures.customer_report_lines(spark, sf_dir), ["warnings"])
         kept = reports.restrict(reports.messages(parsed, "warnings"), parse_names(fixtures.customer_name_lines(spark, sf_dir), mode), mode)
         return sinks.message_lines(kept if mode == REFERENCE else kept.drop("copies"))
 

@@ -7,26 +7,31 @@ from mailpolicy.functions.names import drop_last, strip_dot
 from mailpolicy.functions.text import closes, select_once, strip
 from mailpolicy.modes import STRICT, is_reference
 
-_VERDICT = "struct<a:struct<ips:array<string>>>"
-REPORT = (
-    "query string, error variant, lookups bigint, "
-    "expanded map<string, struct<spf:string, errors:array<string>, warnings:array<string>, "
-    + ", ".join(f"`{v}`:{_VERDICT}" for v in ("pass", "fail", "softfail", "neutral"))
-    + ">>"
-)
+# Fields of an entry of the expanded map.
+_ENTRY = {"spf": "string", "errors": "array<string>", "warnings": "array<string>"} | {
+    v: "struct<a:struct<ips:array<string>>>" for v in ("pass", "fail", "softfail", "neutral")
+}
 
 
-def read_reports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return parse_reports(spark.read.text(paths))
+def _schema(entry_fields: list[str] | None) -> str:
+    entry = ", ".join(f"`{f}`:{_ENTRY[f]}" for f in (entry_fields or _ENTRY))
+    return f"query string, error variant, lookups bigint, expanded map<string, struct<{entry}>>"
 
 
-def parse_reports(lines: DataFrame) -> DataFrame:
+def read_reports(spark: SparkSession, paths: str | list[str], entry_fields: list[str] | None = None) -> DataFrame:
+    return parse_reports(spark.read.text(paths), entry_fields)
+
+
+def parse_reports(lines: DataFrame, entry_fields: list[str] | None = None) -> DataFrame:
     """Report lines → ``query, line_id, error, lookups, expanded``; lines without a query are left out.
 
+    ``entry_fields`` are the fields of the expanded map's entries that are wanted, all if not given: a line is parsed once, so
+    the planner cannot leave unused ones out itself.
+
     ``line_id`` is a digest of the whole line. It stands for the text where exact copies of a line are taken out, so
     that a shuffle moves 32 bytes and not the report. ``error`` is null unless the report holds a text there.
     """
-    parsed = _parsed(lines)
+    parsed = _parsed(lines, _schema(entry_fields))
     field = F.col("_report")
     is_text = F.schema_of_variant(field["error"]) == "STRING"
     return parsed.where(field["query"].isNotNull()).select(
@@ -43,7 +48,7 @@ def report_rejects(lines: DataFrame) -> DataFrame:
     return _parsed(lines, "query string").where(F.col("_report")["query"].isNull()).drop("_report")
 
 
-def _parsed(lines: DataFrame, schema: str = REPORT) -> DataFrame:
+def _parsed(lines: DataFrame, schema: str) -> DataFrame:
     report = F.when(closes(F.col("value"), "}"), F.from_json("value", schema, {"allowSingleQuotes": "false"}))
     return select_once(lines, _report=report)
 

@@ -5,7 +5,7 @@ import pytest
 from conftest import as_set
 
 from mailpolicy.operators import reports
-from mailpolicy.sources.reports import parse_names, parse_reports
+from mailpolicy.sources.reports import parse_names, parse_reports, report_rejects
 
 
 def entry(**kw):
@@ -255,3 +255,12 @@ def test_a_name_with_very_many_reports_is_split(spark, mode):
             spark.conf.set(k, v)
     assert got == plain
     assert "skew=true" in plan.split("Initial Plan")[0]
+
+
+def test_messages_parse_no_other_fields(spark, lines):
+    """Neither the verdicts nor the other kind of messages are in the schema that lines are parsed with."""
+    text = line("a", entry(errors=["x"], warnings=["y"]))
+    found = reports.messages(parse_reports(lines(text), ["errors"]), "errors")
+    assert "softfail" not in found._jdf.queryExecution().toString() and "warnings" not in found._jdf.queryExecution().toString()
+    assert as_set(reports.message_rows(found)) == {("a", "a", "x")}
+    assert as_set(report_rejects(lines(text, "{broken", "{}"))) == {("{broken",), ("{}",)}

@@ -41,6 +41,9 @@ def test_deployment_report(spark, tmp_path):
         assert ("with_mx", 2, 0, 0, 1) in as_set(tables["table1"])
         changes = {(r.tld, r.mechanism): r.change_pct for r in tables["table2"].collect()}
         assert changes["com", "a"] == 50.0 and changes["com", "mx"] == -50.0 and changes["se", "a"] is None
+    assert tables["multiple_policies"].count() == 0
+    zone = deployment_report.run(spark, snapshots, str(tmp_path / "zone"), zones=["se"])["table1"]
+    assert ("with_mx", 0, 0, 0, 1) in as_set(zone)
     lines = written(out / "summary_wide")
     assert [(x.split()[0], len(x.split())) for x in lines] == [("2021-10-13", 54), ("2023-03-19", 54)]
     assert lines[0].split()[1:10] == ["3", "2", "0", "0", "1", "2", "0", "0", "0"]
@@ -90,11 +93,13 @@ def test_server_report(spark, tmp_path, mode):
     (tmp_path / "ids.json").write_text(json.dumps(["aa", "bb", "cc"]))
     out = tmp_path / "out"
     tables = server_report.run(spark, [str(d) for d in logs], str(tmp_path / "ids.json"), DOMAIN, str(out), mode)
-    assert tables["scanned"].first().n == 3
+    assert tables["scanned"].first().n == 3 and tables["ambiguous"].first().n == 0
     assert tuple(tables["funnel"].first()) == (92, 1, 91, 91)
     assert tuple(tables["limits"].first()) == (1, 1, 1, 1, 0)
     assert sorted(written(out / "server_totals")) == ["aa 51 0", "bb 40 35"]
     assert written(out / "cdf_total") == ["40 0.5", "51 1.0"]
+    cut = server_report.run(spark, [str(d) for d in logs], str(tmp_path / "ids.json"), DOMAIN, str(tmp_path / "cut"), mode, until="1990-01-01")
+    assert tuple(cut["funnel"].first()) == (1, 1, 0, 0)
 
 
 def test_messages_are_written_as_often_as_they_count(spark, lines, tmp_path):

@@ -427,6 +427,18 @@ def test_exact_repeats_of_given_documents_are_found(spark, given):
                 assert set(range(i, i + 50)) <= covered
 
 
+def test_repeats_in_a_crowd_that_shares_their_boilerplate(spark):
+    """Pairs share 50 words each, 30 of which stand in all texts between other words."""
+    rng = np.random.default_rng(5)
+    boiler, texts = _passage(rng, 30), []
+    for k in range(60):
+        own = _passage(rng, 20)
+        texts += [(d, " ".join(_passage(rng, 60) + own[:10] + boiler + own[10:] + _passage(rng, 60))) for d in (1000 + k, 2000 + (k * 7) % 60)]
+    texts += [(d, " ".join(_passage(rng, 60) + boiler + _passage(rng, 60))) for d in (1, 2, 9998, 9999)]
+    found = {(r.keeper_id, r.doc_id) for r in substring.repeated_passages(spark.createDataFrame(texts, DOCS)).collect() if r.first_word <= 60 and r.end_word >= 110}
+    assert {(1000 + k, 2000 + (k * 7) % 60) for k in range(60)} <= found
+
+
 # --- 8: SimHash
 
 

@@ -439,6 +439,30 @@ def test_repeats_in_a_crowd_that_shares_their_boilerplate(spark):
     assert {(1000 + k, 2000 + (k * 7) % 60) for k in range(60)} <= found
 
 
+def test_near_copy_whose_middle_stands_earlier_too(spark):
+    """A repeated line lies between two parts under 50 words; the keeper has it earlier, alike or with a longer run."""
+    first, line, second = ([f"{c}{i}" for i in range(n)] for c, n in (("f", 45), ("l", 8), ("s", 45)))
+    for early in (line, [*line, "y2", second[0]]):
+        keeper = [*early, *(f"k{i}" for i in range(60)), *first, "x", *line, "y", *second]
+        texts = [(1, " ".join(keeper)), (2, " ".join([*first, "x2", *line, "y2", *second]))]
+        found = substring.repeated_passages(spark.createDataFrame(texts, DOCS)).collect()
+        assert [(r.doc_id, r.keeper_id, r.first_word, r.end_word) for r in found] == [(2, 1, 0, 100)]
+
+
+def test_equal_rows_are_never_lost():
+    """Every row of ``least`` equal tokens lies in a passage, among few kinds of tokens and stray longer runs."""
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        a, b = (rng.integers(0, 4, n).astype("<u4") for n in (200, 300))
+        for k in range(4):
+            i, j = rng.integers(0, 170), rng.integers(0, 270)
+            b[j : j + 25] = a[i : i + 25][: len(b[j : j + 25])]
+        found = substring.passages(a, b, [(0, 199)], 20, 0.8)
+        rows_b = {b[j : j + 20].tobytes() for j in range(281)}
+        for i in range(181):
+            assert a[i : i + 20].tobytes() not in rows_b or any(r[0] <= i and i + 19 <= r[1] for r in found)
+
+
 # --- 8: SimHash
 
 

@@ -463,6 +463,21 @@ def test_equal_rows_are_never_lost():
             assert a[i : i + 20].tobytes() not in rows_b or any(r[0] <= i and i + 19 <= r[1] for r in found)
 
 
+def test_each_text_of_one_id_loses_its_own_repeats(spark):
+    rng = np.random.default_rng(6)
+    one, two = _passage(rng, 60), _passage(rng, 60)
+    texts = [
+        (1, one + _passage(rng, 9)), (2, two + _passage(rng, 9)), (5, _passage(rng, 70) + one + ["end5"]), (5, ["begin"] + two), (5, _passage(rng, 20)), (6, one[:55] + ["end6"]),
+        (7, (same := _passage(rng, 90)) + ["a"]), (7, same + ["b"]), (8, None), (8, ["short"]),
+    ]
+    docs = spark.createDataFrame([(d, w and " ".join(w)) for d, w in texts], DOCS)
+    expected = [(d, w and " ".join(w)) for d, w in texts]
+    expected[2:4], expected[5] = [(5, " ".join(texts[2][1][:70] + ["end5"])), (5, "begin")], (6, "end6")
+    assert sorted((r.doc_id, " ".join((r.text or "").split())) for r in substring.without_repeats(docs).collect()) == sorted((d, t or "") for d, t in expected)
+    found = {(r.doc_id, r.keeper_id) for r in substring.repeated_passages(docs).collect()}
+    assert found >= {(5, 1), (5, 2), (6, 1)} and all(d > k for d, k in found)
+
+
 # --- 8: SimHash
 
 

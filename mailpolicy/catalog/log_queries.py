@@ -63,7 +63,7 @@ QUERIES = {
     "probe_labels": _labels(STRICT, probes.LABEL_DIGITS),
     "probe_labels_short": _labels(REFERENCE, _SHORT),
     "probe_labels_short_strict": _labels(STRICT, _SHORT),
-    "ambiguous_labels_short": lambda spark, sf: probes.ambiguous_labels(_ids(spark, sf), _SHORT),
+    "ambiguous_labels_short": lambda spark, sf: probes.ambiguous_labels(ids(spark, sf), _SHORT),
     "log_funnel": _funnel(REFERENCE),
     "log_funnel_strict": _funnel(STRICT),
     "server_counts": _over(lambda s: s.select(*_COUNTS), REFERENCE),

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailpolicy.functions import jsonvalues as js
 from mailpolicy.functions import messages as msg
 from mailpolicy.functions.text import select_once
 from mailpolicy.modes import STRICT, is_reference
@@ -50,37 +51,73 @@ def restrict(per_report: DataFrame, names: DataFrame, mode: str = STRICT) -> Dat
 
 
 def _include_series(mode: str) -> Column:
-    """Does the report's own policy include another one (FLT6); null where that is not known (Q10)."""
-    own = F.try_element_at("expanded", F.col("query"))
-    has_own = F.coalesce(F.map_contains_key("expanded", F.col("query")), F.lit(False))
-    has_include = F.contains(own["spf"], F.lit("include:"))
-    series = F.when(has_include, "include_present")
+    """Does the report's own policy include another one (FLT6); null where that is not known (Q10).
+
+    Strict mode looks for the word in a policy that is a text. Reference mode follows the published analysis through
+    every type: it asks lists and maps for the word, too, and the report is in neither series where that fails.
+    """
+    word = F.lit("include:")
+    own = F.filter("expanded", lambda e: e["domain"] == F.col("query"))
+    spf = js.field(F.get(own, F.lit(0))["entry"], "spf")
     if is_reference(mode):
-        series = series.when(has_own & own["spf"].isNull(), None)
-    return F.when(F.col("lookups").isNotNull(), series.otherwise("include_absent"))
+        # Asked of a text or a list, the query is there or not; then it would have to be a key.
+        elsewhere = js.contains(F.col("unexpanded"), F.col("query"))
+        found = (
+            F.when(F.col("unexpanded").isNotNull(), F.when(~elsewhere, False))
+            .when(F.size(own) > 0, js.let(spf, lambda policy: js.contains(policy, word)))
+            .otherwise(False)
+        )
+    else:
+        found = F.coalesce(F.contains(js.text(spf), word), F.lit(False))
+    series = F.when(found, "include_present").when(~found, "include_absent")
+    return F.when(F.col("lookups").isNotNull(), series)
 
 
 def _all_messages(kind: str) -> Column:
-    """Messages of all expanded entries in one array, null as soon as one entry has none of that kind."""
-    return F.flatten(F.transform(F.map_values("expanded"), lambda e: e[kind]))
+    """Messages of all expanded entries in one array, null as soon as one entry has no list of texts of that kind."""
+    return F.flatten(F.transform("expanded", lambda e: js.texts(js.field(e["entry"], kind))))
+
+
+_VERDICTS = ("pass", "fail", "softfail", "neutral")
 
 
 def _missing_address(mode: str) -> Column:
     """Does any verdict of any expanded entry name a host without addresses (FLT7)?
 
-    Reference mode stops at the first verdict that has an address list which is empty (yes) or no list at all (no);
-    strict mode looks at every verdict and takes both as missing.
+    Reference mode goes through the verdicts in order and stops at an empty list of addresses (yes) or where the published
+    analysis fails (no): at an entry, a verdict or a host that cannot be asked, or a host without such a list. Strict mode
+    looks at every verdict, and takes a host without a list as one without addresses.
     """
-    hosts = F.flatten(
-        F.transform(
-            F.map_values("expanded"),
-            lambda e: F.array(*[e[verdict]["a"] for verdict in ("pass", "fail", "softfail", "neutral")]),
-        )
-    )
-    bare = F.filter(hosts, lambda a: a.isNotNull() & (a["ips"].isNull() | (F.size(a["ips"]) == 0)))
     if is_reference(mode):
-        return F.coalesce(F.get(bare, F.lit(0))["ips"].isNotNull(), F.lit(False))
-    return F.coalesce(F.size(bare) > 0, F.lit(False))
+        answers = F.flatten(F.transform("expanded", lambda e: _asked(e["entry"])))
+        return F.coalesce(F.get(F.array_compact(answers), F.lit(0)), F.lit(False))
+
+    def bare(entry: Column, verdict: str) -> Column:
+        host = js.field(js.field(entry, verdict), "a")
+        return js.is_object(host) & (F.coalesce(F.size(js.array(js.field(host, "ips"))), F.lit(0)) == 0)
+
+    anywhere = F.exists("expanded", lambda e: F.exists(F.array(*[bare(e["entry"], v) for v in _VERDICTS]), lambda x: x))
+    return F.coalesce(anywhere, F.lit(False))
+
+
+def _asked(entry: Column) -> Column:
+    """For each verdict of an entry: True if it names a host with an empty list of addresses, False if asking for it fails, null to go on."""
+    def fails_at(value: Column, word: str) -> Column:
+        # A text or a list that holds the word fails when its item of that name is asked for, a null or a number at once.
+        return F.when(F.coalesce(js.contains(value, F.lit(word)), F.lit(True)), False)
+
+    def of_host(host: Column, value: Column) -> Column:
+        found = js.let(js.is_empty(js.field(host, "ips")), lambda empty: F.when(empty, True).when(empty.isNull(), False))
+        return F.when(host.isNotNull(), found).when(~js.is_object(value), fails_at(value, "a"))
+
+    def of_verdict(value: Column) -> Column:
+        return F.when(value.isNotNull(), js.let(js.field(value, "a"), lambda host: of_host(host, value)))
+
+    def of_object(verdict: str) -> Column:
+        return js.let(js.field(entry, verdict), of_verdict)
+
+    asked = F.array(*[of_object(v) for v in _VERDICTS])
+    return F.when(js.is_object(entry), asked).otherwise(F.array(*[fails_at(entry, v) for v in _VERDICTS]))
 
 
 def messages(reports: DataFrame, kind: str) -> DataFrame:
@@ -90,7 +127,7 @@ def messages(reports: DataFrame, kind: str) -> DataFrame:
     array so that rows can be made distinct by ``restrict``.
     """
     entries = F.transform(
-        F.map_entries("expanded"), lambda e: F.struct(e["key"].alias("domain"), e["value"][kind].alias("messages"))
+        "expanded", lambda e: F.struct(e["domain"].alias("domain"), js.texts(js.field(e["entry"], kind)).alias("messages"))
     )
     parsed = select_once(reports, _domains=entries)
     complete = F.forall("_domains", lambda d: d["messages"].isNotNull())

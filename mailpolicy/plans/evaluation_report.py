@@ -34,7 +34,7 @@ def run(
         sinks.write_cdf(curve.where(F.col("series") == series), f"{out}/cdf_{series}")
     if write_messages:
         for kind in ("errors", "warnings"):
-            found = reports.messages(read_reports(spark, report_paths, [kind]), kind)
+            found = reports.messages(read_reports(spark, report_paths), kind)
             kept = reports.restrict(found, names, mode)
             # In strict mode each report is one line: without the column nothing is spread, so no further shuffle.
             sinks.write_messages(kept if is_reference(mode) else kept.drop("copies"), f"{out}/{kind}")

@@ -260,7 +260,7 @@ def test_a_name_with_very_many_reports_is_split(spark, mode):
 def test_messages_parse_no_other_fields(spark, lines):
     """Neither the verdicts nor the other kind of messages are in the schema that lines are parsed with."""
     text = line("a", entry(errors=["x"], warnings=["y"]))
-    found = reports.messages(parse_reports(lines(text), ["errors"]), "errors")
+    found = reports.messages(parse_reports(lines(text)), "errors")
     assert "softfail" not in found._jdf.queryExecution().toString() and "warnings" not in found._jdf.queryExecution().toString()
     assert as_set(reports.message_rows(found)) == {("a", "a", "x")}
     assert as_set(report_rejects(lines(text, "{broken", "{}"))) == {("{broken",), ("{}",)}

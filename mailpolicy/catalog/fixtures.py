@@ -236,6 +236,19 @@ def numbered_id_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def odd_id_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands between the commas of one array of strings, one string per part, some with commas, quotes and brackets: ``value, split, row``."""
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey AS k").selectExpr(
+        "k",
+        """concat(' ', CASE k % 6 WHEN 0 THEN 'null'
+            WHEN 1 THEN concat('"a', k, '"') WHEN 2 THEN concat('"b,', k, ',"') WHEN 3 THEN concat('"c\\\\\",', k, '\\\\\\\\"')
+            WHEN 4 THEN concat('"[', k, '],"') ELSE concat('"null', k, '"') END) AS text""",
+    )
+    # As files are cut: three pieces in a split, wherever that falls.
+    pieces = parts.select("k", F.posexplode(F.split("text", ",")).alias("i", "value")).withColumn("row", F.col("k") * 10 + F.col("i"))
+    return pieces.selectExpr("value", "row div 25 AS split", "row")
+
+
 def server_count_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``server total void`` lines, one per user; of every ninth the total is no number."""
     counts = table(spark, sf_dir, "events").groupBy("user_id").agg(

@@ -117,6 +117,7 @@ QUERIES = {
     "log_date_rejects": lambda spark, sf: querylog.log_rejects(fixtures.log_lines_dated(spark, sf)).select("e"),
     "log_funnel_until": _funnel_until,
     "id_positions": lambda spark, sf: querylog.number_ids(fixtures.numbered_id_pieces(spark, sf)),
+    "id_strings": lambda spark, sf: querylog.number_ids(fixtures.odd_id_pieces(spark, sf)),
     "probe_labels_border": _border_labels,
     "server_count_curve": _server_curve,
     "server_count_rejects": lambda spark, sf: counts.server_count_rejects(fixtures.server_count_lines(spark, sf)).select("user_id"),
@@ -222,6 +223,9 @@ SQL = {
     "id_positions": """WITH p AS (SELECT DISTINCT CAST(floor(sqrt(user_id)) AS BIGINT) AS k FROM events),
         numbered AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS pos FROM p)
         SELECT pos, substr(md5(CAST(k AS VARCHAR)), 1, 16) AS id FROM numbered WHERE k % 5 <> 4""",
+    "id_strings": """SELECT pos, CASE p_partkey % 6 WHEN 1 THEN 'a' || p_partkey WHEN 2 THEN 'b,' || p_partkey || ','
+          WHEN 3 THEN 'c",' || p_partkey || chr(92) WHEN 4 THEN '[' || p_partkey || '],' ELSE 'null' || p_partkey END AS id
+        FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part) WHERE p_partkey % 6 <> 0""",
     "probe_labels_border": log_queries.labels_sql(REFERENCE, _SHORT, moved=_BORDER),
     "server_count_curve": f"""{_SERVER}, v AS (
         SELECT UNNEST(['total', 'void']) AS series, UNNEST([total, void]) AS value FROM counted WHERE user_id % 9 <> 8),

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mailpolicy.functions import jsonvalues as js
 from mailpolicy.functions.text import select_once, tokens
 
 # Log words that carry no field, and the numbers of tokens of the known formats.
@@ -83,9 +84,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """One JSON array of server ids → ``pos, id``, ``pos`` counting from 0 (Q13 needs the order).
 
     The file is cut at its commas and not read as one value, so that it splits over tasks (a gzip file is one task by
-    nature). Ids are hex digests and hold no comma; a piece that is neither a string nor null, as a string with a comma
-    makes, ends the run with an error, so that no id is lost and no position shifts. A null keeps its position, and is
-    no id.
+    nature). Which commas stand within strings is worked out by ``number_ids``.
     """
     return number_ids(
         spark.read.option("lineSep", ",").text(path).select(
@@ -97,30 +96,60 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def number_ids(texts: DataFrame) -> DataFrame:
-    """Pieces ``value, split, row`` of a JSON array → ``pos, id``, as ``read_ids``.
+    """Pieces ``value, split, row`` of a JSON array of strings, as they are between its commas → ``pos, id``.
 
-    Positions are counted by ``row`` within a split, then moved up by the pieces of the splits before it.
+    A piece begins within a string if the quotes before it, without escaped ones, are odd in number. An escape holds no
+    comma, so each piece's quotes are counted alone; they are summed by ``row`` within a split, and from one row a split over the
+    splits before it. The same way pieces that begin outside of strings are counted, which gives an element's position;
+    its pieces are put together by that. A null keeps its position, and is no id; any other element that is no string, and an
+    odd number of quotes, end the run with an error, so that no id is lost and no position shifts.
     """
-    pieces = select_once(texts, id=parse_id(F.col("value")), _inner=_inner(F.col("value")))
-    lost = F.concat(F.lit("not one string of a JSON array: "), F.col("value"))
-    known = F.when(F.col("id").isNotNull() | (F.col("_inner") == "null"), F.col("id")).otherwise(F.raise_error(lost))
-    ids = pieces.where(F.col("_inner") != "").select(known.alias("id"), "split", "row")
-    before = Window.partitionBy(F.lit(0)).orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = (
-        ids.groupBy("split")
-        .agg(F.count("*").alias("n"))
-        .select("split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    bare = F.when(F.contains("value", F.lit("\\")), F.regexp_replace("value", r"(?s)\\.", "")).otherwise(F.col("value"))
+    quotes = F.length(bare) - F.length(F.replace(bare, F.lit('"'), F.lit("")))
+    in_split = Window.partitionBy("split").orderBy("row")
+    before = in_split.rowsBetween(Window.unboundedPreceding, -1)
+    pieces = select_once(texts, _quotes=quotes).withColumn("_odd", F.coalesce(F.sum("_quotes").over(before), F.lit(0)) % 2)
+
+    # Of each split: its quotes, and the pieces that begin outside of strings if the split itself begins outside or inside.
+    splits = pieces.groupBy("split").agg(
+        F.sum("_quotes").alias("quotes"), F.count_if(F.col("_odd") == 0).alias("outside"), F.count_if(F.col("_odd") == 1).alias("inside")
     )
-    in_split = F.row_number().over(Window.partitionBy("split").orderBy("row"))
-    return ids.withColumn("nth", in_split).join(splits.hint("merge"), "split").select(
-        (F.col("offset") + F.col("nth") - 1).alias("pos"), "id"
-    ).where(F.col("id").isNotNull())
+    splits_before = Window.partitionBy(F.lit(0)).orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    # With an odd quote somewhere the rest of the array would be one string.
+    paired = F.sum("quotes").over(Window.partitionBy(F.lit(0))) % 2 == 0
+    start = F.when(paired, F.coalesce(F.sum("quotes").over(splits_before), F.lit(0)) % 2)
+    splits = splits.withColumn("_start", start.otherwise(F.raise_error(F.lit("not one string of a JSON array: quotes do not pair"))))
+    begun = F.sum(F.when(F.col("_start") == 0, F.col("outside")).otherwise(F.col("inside"))).over(splits_before)
+    splits = splits.select("split", "_start", F.coalesce(begun, F.lit(0)).alias("_begun"))
 
+    placed = pieces.join(splits.hint("merge"), "split")
+    begins = F.count_if(F.col("_odd") == F.col("_start")).over(in_split.rowsBetween(Window.unboundedPreceding, 0))
+    parts = placed.select((F.col("_begun") + begins - 1).alias("pos"), "split", "row", "value")
+    elements = parts.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("split", "row", "value"))).alias("_parts"))
+    text = F.array_join(F.transform("_parts", lambda p: p["value"]), ",")
+    found = select_once(elements.select("pos", text.alias("_text")), _text=_element(F.col("_text"), F.col("pos") == 0))
+    ids = select_once(found, id=_string(F.col("_text")), _text=F.col("_text")).where(F.col("_text") != "")
+    lost = F.concat(F.lit("not one string of a JSON array: "), F.col("_text"))
+    known = F.when(F.col("id").isNotNull() | (F.col("_text") == "null"), F.col("id")).otherwise(F.raise_error(lost))
+    return ids.select("pos", known.alias("id")).where(F.col("id").isNotNull())
 
-def parse_id(piece: Column) -> Column:
-    """One comma-separated piece of a JSON array of strings → the string, null for an empty array, null or no string."""
-    return F.get(F.from_json(F.concat(F.lit("["), _inner(piece), F.lit("]")), "array<string>"), F.lit(0))
+
+_SPACE = " \t\r\n"
+
+
+def _element(text: Column, first: Column) -> Column:
+    """An element without white space and without the array's own brackets."""
+    inner = F.btrim(text, F.lit(_SPACE))
+    inner = F.when(first & F.startswith(inner, F.lit("[")), F.ltrim(F.substr(inner, F.lit(2)), F.lit(_SPACE))).otherwise(inner)
+    return F.when(F.endswith(inner, F.lit("]")), F.rtrim(F.left(inner, F.length(inner) - 1), F.lit(_SPACE))).otherwise(inner)
 
 
-def _inner(piece: Column) -> Column:
-    return F.btrim(piece, F.lit("[] \t\r\n"))
+def _string(element: Column) -> Column:
+    """The string that an element is; null for anything else."""
+    values = F.from_json(F.concat(F.lit("["), element, F.lit(",0]")), "array<variant>", {"allowSingleQuotes": "false"})
+    return js.let(values, lambda v: F.when(F.size(v) == 2, js.text(F.get(v, F.lit(0)))))
+
+
+def parse_id(piece: Column) -> Column:
+    """One comma-separated piece of a JSON array of strings → the string, null for an empty array, null or no string."""
+    return _string(F.btrim(piece, F.lit(f"[]{_SPACE}")))

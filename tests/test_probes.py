@@ -65,12 +65,29 @@ def test_no_id_is_lost(spark, tmp_path):
     path = tmp_path / "ids.json"
     path.write_text('["aa", null, "cc"]')
     assert sorted((r.pos, r.id) for r in querylog.read_ids(spark, str(path)).collect()) == [(0, "aa"), (2, "cc")]
-    for broken in ('["aa","b,b","cc"]', '["aa" "bb","cc"'):
+    for broken in ('["aa" "bb","cc"', '["aa","bb]', '["aa",5]', '["aa",["bb"],"cc"]', '["aa",{"b":"c"}]', "[aa]", '["aa","b\\,b"]'):
         path.write_text(broken)
         with pytest.raises(Exception, match="not one string"):
             querylog.read_ids(spark, str(path)).collect()
 
 
+@pytest.mark.parametrize("size", [1, 3, 7, 64, 100_000])
+def test_any_strings_are_ids(spark, tmp_path, size):
+    rng = random.Random(size)
+    ids = ["aa", "b,b", 'c"c', "", ",", '","', "\\", '\\"', "\\\\,", "[x", "y]", "[]", "null", " a ", "é,🙂", "a\nb,\tc", "\u2028"]
+    ids += ["".join(rng.choice('ab,"\\[] \né') for _ in range(rng.randint(0, 9))) for _ in range(40)]
+    given = [None if rng.random() < 0.1 else i for i in ids]
+    path = tmp_path / "ids.json"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        for text in (json.dumps(given), json.dumps(given, ensure_ascii=False, indent=2), " [ " + " , ".join(map(json.dumps, given)) + " ] \n"):
+            path.write_text(text, encoding="utf-8")
+            got = sorted((r.pos, r.id) for r in querylog.read_ids(spark, str(path)).collect())
+            assert got == [(i, x) for i, x in enumerate(given) if x is not None]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def frame(spark, ids):
     return spark.createDataFrame(ids, "pos bigint, id string")
 

@@ -23,6 +23,20 @@ def servers(spark, sf_dir, mode):
     return probes.server_counts(parse_log(_log(spark, sf_dir)), ids(spark, sf_dir), DOMAIN, mode)
 
 
+def _state(spark, sf_dir, mode, part=None):
+    log = _log(spark, sf_dir) if part is None else log_lines(spark, sf_dir).where(part).drop("e")
+    return probes.state(probes.label_counts(parse_log(log), DOMAIN, mode), ids(spark, sf_dir), mode)
+
+
+def _merged(mode):
+    """Servers of three parts of the log, merged two and then one."""
+    def build(spark, sf_dir):
+        parts = [_state(spark, sf_dir, mode, f"e % 3 = {i}") for i in range(3)]
+        return probes.of_state(probes.merged(parts[2], probes.merged(*parts[:2]))).select(*_COUNTS)
+
+    return build
+
+
 def _over(build, mode):
     return lambda spark, sf_dir: build(servers(spark, sf_dir, mode))
 
@@ -68,6 +82,9 @@ QUERIES = {
     "log_funnel_strict": _funnel(STRICT),
     "server_counts": _over(lambda s: s.select(*_COUNTS), REFERENCE),
     "server_counts_strict": _over(lambda s: s.select(*_COUNTS), STRICT),
+    "server_counts_merged": _merged(REFERENCE),
+    "server_counts_merged_strict": _merged(STRICT),
+    "server_state": lambda spark, sf: _state(spark, sf, REFERENCE),
     "server_max_totals": _over(probes.max_totals, REFERENCE),
     "server_cdf": _over(_curve, REFERENCE),
     "server_indicators_strict": _over(
@@ -190,6 +207,12 @@ SQL = {
     "log_funnel_strict": _funnel_sql(STRICT),
     "server_counts": f"{_servers_sql(REFERENCE)} SELECT {', '.join(_COUNTS)} FROM s",
     "server_counts_strict": f"{_servers_sql(STRICT)} SELECT {', '.join(_COUNTS)} FROM s",
+    "server_counts_merged": f"{_servers_sql(REFERENCE)} SELECT {', '.join(_COUNTS)} FROM s",
+    "server_counts_merged_strict": f"{_servers_sql(STRICT)} SELECT {', '.join(_COUNTS)} FROM s",
+    "server_state": f"""{_servers_sql(REFERENCE)}, m AS (SELECT id AS server_id,
+        COALESCE(BIT_OR(CAST(1 AS BIGINT) << no) FILTER (WHERE test = 1), 0) AS mask1,
+        COALESCE(BIT_OR(CAST(1 AS BIGINT) << no) FILTER (WHERE test = 2), 0) AS mask2 FROM hit GROUP BY id)
+      SELECT server_id, total1, total2, void_total, mask1, mask2 FROM s JOIN m USING (server_id)""",
     "server_max_totals": f"{_servers_sql(REFERENCE)} SELECT server_id, greatest(total1, total2) AS max_total, void_total FROM s",
     "server_cdf": _cdf_sql(),
     "server_indicators_strict": f"{_servers_sql(STRICT)} SELECT server_id, indicators1, indicators2 FROM s",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailpolicy.functions.names import first_label
+from mailpolicy.functions.text import select_once
 from mailpolicy.modes import STRICT, is_reference
 
 # Fixed values of the experiment.
@@ -20,6 +21,8 @@ INDICATORS = [0, 1, 2, 3, 15, 16, 35, 36, 50]
 ALL_SEEN, MOST_SEEN, MANY_QUERIES, VOID_LIMIT = 51, 45, 51, 31
 
 _PER_ID = PROBES * TESTS
+# Leading hex digits of a label that are looked up in the bitmap of labels seen: 2^28 bits, 32 MB, at any size of the log.
+_SEEN_DIGITS = 7
 # added to the position of the ids of the first label map, which outranks the second
 _FIRST_MAP_RANK = 1 << 40
 
@@ -31,28 +34,56 @@ def _ranked(ids: DataFrame) -> DataFrame:
     return ids.groupBy("id").agg(F.max(rank).alias("rank"))
 
 
-def _owners(ranked: DataFrame, digits: int) -> DataFrame:
+def _label_number(label: Column, digits: int) -> Column:
+    return F.conv(F.substring(label, 1, min(digits, _SEEN_DIGITS)), 16, 10).cast("bigint")
+
+
+def seen_labels(counts: DataFrame, digits: int = LABEL_DIGITS) -> DataFrame:
+    """``bucket, bits``: bitmap of the leading digits of all labels in ``label_counts``, 32,768 bits a row.
+
+    Labels are digests, so their leading digits are as good as any hash. The bitmap has 2^28 bits at most, and a label that
+    was seen is always found in it; of those not seen a share passes that is the number of seen ones by 2^28.
+    """
+    number = F.when(F.rlike("label", F.lit(f"^[0-9a-f]{{{digits}}}$")), _label_number(F.col("label"), digits))
+    numbers = counts.select(number.alias("x")).where(F.col("x").isNotNull())
+    return numbers.groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+
+
+def _only_seen(labelled: DataFrame, seen: DataFrame, digits: int) -> DataFrame:
+    """Rows whose ``label`` may have been seen. The bitmap, of bounded size, is broadcast: nothing moves before that."""
+    numbered = labelled.withColumn("_x", _label_number(F.col("label"), digits))
+    near = numbered.join(F.broadcast(seen), F.bitmap_bucket_number("_x") == F.col("bucket"))
+    # The bit's half of its byte as a hex digit, and the digits that have the bit; a long binary is not turned into numbers.
+    byte = F.expr("hex(substring(bits, int(bitmap_bit_position(_x) div 8) + 1, 1))")
+    bit = F.bitmap_bit_position("_x") % 8
+    digit = F.substring(byte, F.when(bit < 4, 2).otherwise(1), F.lit(1))
+    having = ["".join(f"{d:X}" for d in range(16) if d >> i & 1) for i in range(4)]
+    return near.where(F.contains(F.get(F.array(*map(F.lit, having)), (bit % 4).cast("int")), digit)).select(*labelled.columns)
+
+
+def _owners(ranked: DataFrame, digits: int, seen: DataFrame | None = None) -> DataFrame:
     """``label, slot, lowest``, one row per label; a slot is rank, probe number and test in one number.
 
     With one number to compare, ownership of a label is a plain maximum in a hash aggregation (Q13). The planner does not
-    see that there are 102 labels per id, so joins with these tables are merge joins and never a broadcast.
+    see that there are 102 labels per id, so joins with these tables are merge joins and never a broadcast. ``seen`` leaves
+    out labels that the log does not have before they move; of the others every probe stays, so owners are the same.
     """
     probe = ranked.select("id", "rank", F.explode(F.sequence(F.lit(0), F.lit(_PER_ID - 1))).alias("k"))
     no = F.expr(f"k div {TESTS}")
     test = F.col("k") % TESTS + 1
     text = F.concat(no.cast("string"), F.lit(".test"), test.cast("string"), F.lit("."), F.col("id"))
-    return (
-        probe.select(
-            F.substring(F.md5(text), 1, digits).alias("label"), (F.col("rank") * _PER_ID + F.col("k")).alias("slot")
-        )
-        .groupBy("label")
-        .agg(F.max("slot").alias("slot"), F.min("slot").alias("lowest"))
-    )
+    label, slot = F.substring(F.md5(text), 1, digits), F.col("rank") * _PER_ID + F.col("k")
+    if seen is None:
+        labelled = probe.select(label.alias("label"), slot.alias("slot"))
+    else:
+        # Digested once, for the look-up and for what moves.
+        labelled = _only_seen(select_once(probe, label=label, slot=slot).select("label", "slot"), seen, digits)
+    return labelled.groupBy("label").agg(F.max("slot").alias("slot"), F.min("slot").alias("lowest"))
 
 
-def _slots(ranked: DataFrame, mode: str, digits: int = LABEL_DIGITS) -> DataFrame:
+def _slots(ranked: DataFrame, mode: str, digits: int = LABEL_DIGITS, seen: DataFrame | None = None) -> DataFrame:
     """``label, slot`` of the owner; strict mode leaves out labels that more than one probe has."""
-    owners = _owners(ranked, digits)
+    owners = _owners(ranked, digits, seen)
     if not is_reference(mode):
         owners = owners.where(F.col("slot") == F.col("lowest"))
     return owners.select("label", "slot")
@@ -100,7 +131,7 @@ def label_counts(log: DataFrame, domain: str, mode: str = STRICT) -> DataFrame:
     Everything else is drawn from this table. The log is counted by label before anything moves, so a server with a third
     of all queries is at most 102 rows after that.
     """
-    return (
+    counted = (
         log.select(
             F.when(_is_probe(domain), _label(mode)).alias("label"),
             F.col("ts_text").isNull().alias("unreadable"),
@@ -108,50 +139,84 @@ def label_counts(log: DataFrame, domain: str, mode: str = STRICT) -> DataFrame:
         .groupBy("label")
         .agg(F.count("*").alias("n"), F.count_if("unreadable").alias("unreadable"))
     )
+    # No filter or pruning of what is drawn from here reaches the log, so that its exchange is the same for all and is made
+    # once. It costs a second shuffle of the counts, which are few beside the log.
+    return select_once(counted, **{c: F.col(c) for c in counted.columns})
 
 
-def matched(counts: DataFrame, ids: DataFrame, mode: str = STRICT) -> DataFrame:
+def matched(counts: DataFrame, ids: DataFrame, mode: str = STRICT, digits: int = LABEL_DIGITS) -> DataFrame:
     """``label_counts`` with ``slot``, the probe a label stands for, null if none (JN3).
 
-    ``servers`` and ``funnel`` take it instead of ``label_counts``, so that labels are worked out once for both.
+    ``servers`` and ``funnel`` take it instead of ``label_counts``, so that labels are worked out once for both. Of all labels
+    of all ids only those are moved that the log may have.
     """
     if "slot" in counts.columns:
         return counts
-    return counts.join(_slots(_ranked(ids), mode).hint("merge"), "label", "left")
+    return counts.join(_slots(_ranked(ids), mode, digits, seen_labels(counts, digits)).hint("merge"), "label", "left")
 
 
-def servers(counts: DataFrame, ids: DataFrame, mode: str = STRICT) -> DataFrame:
-    """One row per server seen in ``label_counts`` (AGG26-31, AGG40).
+# What a server's state adds up: numbers of queries, and a bit for every probe number seen in a test.
+_SUMS = ["total1", "total2", "void_total"]
+_MASKS = ["mask1", "mask2"]
+
 
-    ``server_id, total1, unique1, total2, unique2, void_total, void_unique, indicators1, indicators2``. As a label stands
-    for one probe, a distinct probe number is a row and no distinct count is needed.
+def state(counts: DataFrame, ids: DataFrame, mode: str = STRICT) -> DataFrame:
+    """``server_id, total1, total2, void_total, mask1, mask2``: what ``label_counts`` say of each server, in a form that adds up.
+
+    Bit i of a mask says that probe i of the test was seen. Which probe a label stands for depends on the ids alone, so states
+    of several logs and the same ids are merged by ``merged`` without another look at the logs.
     """
     ranked = _ranked(ids)
     seen = matched(counts, ids, mode).where(F.col("slot").isNotNull()).select(
         _rank().alias("rank"), _no().alias("no"), _test().alias("test"), "n"
     )
-    n, no = F.col("n"), F.col("no")
-    void = no.between(VOID_FIRST, VOID_LAST)
+    n, void = F.col("n"), F.col("no").between(VOID_FIRST, VOID_LAST)
     first, second = (F.col("test") == t for t in (1, 2))
+    bit, none = F.expr("shiftleft(1L, no)"), F.lit(0).cast("bigint")
+    per_server = seen.groupBy("rank").agg(
+        *[F.coalesce(F.sum(F.when(cond, n)), none).alias(c) for c, cond in zip(_SUMS, (first, second, second & void))],
+        *[F.bit_or(F.when(cond, bit).otherwise(none)).alias(c) for c, cond in zip(_MASKS, (first, second))],
+    )
+    return per_server.join(ranked.hint("merge"), "rank").select(F.col("id").alias("server_id"), *_SUMS, *_MASKS)
 
-    def total(cond: Column) -> Column:
-        return F.coalesce(F.sum(F.when(cond, n)), F.lit(0).cast("bigint"))
 
-    def indicators(cond: Column) -> Column:
-        return F.count_if(cond & no.isin(*INDICATORS)) == len(INDICATORS)
+def merged(states: DataFrame, *more: DataFrame) -> DataFrame:
+    """One state of several, as if it had been drawn from all their logs together."""
+    for other in more:
+        states = states.unionByName(other)
+    sums = [F.sum(c).alias(c) for c in _SUMS]
+    return states.groupBy("server_id").agg(*sums, *[F.bit_or(c).alias(c) for c in _MASKS])
 
-    per_server = seen.groupBy("rank").agg(
-        total(first).alias("total1"),
-        F.count_if(first).alias("unique1"),
-        total(second).alias("total2"),
-        F.count_if(second).alias("unique2"),
-        total(second & void).alias("void_total"),
-        F.count_if(second & void).alias("void_unique"),
-        indicators(first).alias("indicators1"),
-        indicators(second).alias("indicators2"),
+
+def _mask(numbers) -> Column:
+    return F.lit(sum(1 << i for i in numbers)).cast("bigint")
+
+
+def of_state(states: DataFrame) -> DataFrame:
+    """One row per server (AGG26-31, AGG40): ``server_id, total1, unique1, total2, unique2, void_total, void_unique, indicators1, indicators2``."""
+    def unique(mask: Column) -> Column:
+        return F.bit_count(mask).cast("bigint")
+
+    def indicators(mask: str) -> Column:
+        return F.col(mask).bitwiseAND(_mask(INDICATORS)) == _mask(INDICATORS)
+
+    void = F.col("mask2").bitwiseAND(_mask(range(VOID_FIRST, VOID_LAST + 1)))
+    return states.select(
+        "server_id",
+        "total1",
+        unique(F.col("mask1")).alias("unique1"),
+        "total2",
+        unique(F.col("mask2")).alias("unique2"),
+        "void_total",
+        unique(void).alias("void_unique"),
+        indicators("mask1").alias("indicators1"),
+        indicators("mask2").alias("indicators2"),
     )
-    columns = [c for c in per_server.columns if c != "rank"]
-    return per_server.join(ranked.hint("merge"), "rank").select(F.col("id").alias("server_id"), *columns)
+
+
+def servers(counts: DataFrame, ids: DataFrame, mode: str = STRICT) -> DataFrame:
+    """One row per server seen in ``label_counts``, as ``of_state``."""
+    return of_state(state(counts, ids, mode))
 
 
 def server_counts(log: DataFrame, ids: DataFrame, domain: str, mode: str = STRICT) -> DataFrame:

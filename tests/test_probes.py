@@ -173,6 +173,46 @@ def test_server_counts_and_funnel(spark, lines, mode):
     assert as_set(probes.servers(counts, ids, mode)) == {tuple(r) for r in got.values()}
 
 
+@pytest.mark.parametrize("mode", ["reference", "strict"])
+def test_states_of_parts_of_a_log_add_up(spark, lines, mode):
+    log, ids = random_log(11), frame(spark, IDS)
+    rng = random.Random(1)
+    parts = [[], [], []]
+    for text in log:
+        parts[rng.randrange(3)].append(text)
+    parts.append(["garbage"])
+    states = [probes.state(probes.label_counts(querylog.parse_all(lines(*p)), DOMAIN, mode), ids, mode) for p in parts]
+    whole = as_set(probes.state(probes.label_counts(querylog.parse_all(lines(*log)), DOMAIN, mode), ids, mode))
+    assert as_set(probes.merged(*states)) == as_set(probes.merged(probes.merged(states[2], states[0]), states[1])) == whole
+    assert len(whole) > 3
+
+
+@pytest.mark.parametrize("digits", [2, 3, 8])
+@pytest.mark.parametrize("mode", ["reference", "strict"])
+def test_owners_of_seen_labels_only(spark, mode, digits):
+    """All probes that share a seen label stay, so that owners are right; hardly any others move."""
+    table, met = owners(IDS, digits, mode)
+    rng = random.Random(digits)
+    asked = rng.sample(sorted(met), 12) + ["zz" * 4, "AB", "", "0" * digits, "f" * digits, None]
+    counts = spark.createDataFrame([(x, 1, 0) for x in asked], "label string, n bigint, unreadable bigint")
+    ids = frame(spark, IDS)
+    ranks = {r.id: r["rank"] for r in probes._ranked(ids).collect()}
+    want = {x: (ranks[table[x][0]] * 102 + table[x][1] * 2 + table[x][2] - 1 if x in table else None) for x in asked}
+    assert {r.label: r.slot for r in probes.matched(counts, ids, mode, digits).collect()} == want
+    kept = probes._owners(probes._ranked(ids), digits, probes.seen_labels(counts, digits)).collect()
+    assert {r.label for r in kept} == set(asked) & set(met)
+
+
+def test_the_log_is_read_once(spark, tmp_path):
+    (tmp_path / "log").write_text("\n".join(random_log(3)))
+    log = querylog.parse_all(querylog.read_log_lines(spark, str(tmp_path / "log")))
+    for build in (probes.servers, probes.funnel):
+        result = build(probes.label_counts(log, DOMAIN), frame(spark, IDS))
+        result.collect()
+        plan = result._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("FileScan text") == 1 and "ReusedExchange" in plan
+
+
 COLUMNS = (
     "server_id string, total1 bigint, unique1 bigint, total2 bigint, unique2 bigint, void_total bigint, "
     "void_unique bigint, indicators1 boolean, indicators2 boolean"

@@ -100,6 +100,15 @@ def test_server_report(spark, tmp_path, mode):
     assert written(out / "cdf_total") == ["40 0.5", "51 1.0"]
     cut = server_report.run(spark, [str(d) for d in logs], str(tmp_path / "ids.json"), DOMAIN, str(tmp_path / "cut"), mode, until="1990-01-01")
     assert tuple(cut["funnel"].first()) == (1, 1, 0, 0)
+    # the same from one directory after the other, whose logs are gone by then
+    parts = [str(tmp_path / f"part{i}") for i in range(2)]
+    first = server_report.run(spark, [str(logs[0])], str(tmp_path / "ids.json"), DOMAIN, parts[0], mode)
+    assert tuple(first["funnel"].first()) == (52, 1, 51, 51)
+    logs[0].rename(tmp_path / "gone")
+    for _ in range(2):  # a rerun counts nothing twice
+        later = server_report.run(spark, [str(logs[1])], str(tmp_path / "ids.json"), DOMAIN, parts[1], mode, previous=parts[0])
+        assert all(as_set(later[name]) == as_set(tables[name]) for name in ("scanned", "funnel", "limits", "server_cdf"))
+        assert sorted(written(tmp_path / "part1" / "server_totals")) == ["aa 51 0", "bb 40 35"]
 
 
 def test_messages_are_written_as_often_as_they_count(spark, lines, tmp_path):

@@ -9,14 +9,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import floor
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailpolicy.llm.common import kept, mapped
+from mailpolicy.llm.common import kept, mapped, scaled_integers
 
 #: Vectors tested at a time.
 ROWS = 1024
@@ -33,15 +32,6 @@ def usable(vectors: DataFrame, width: int, id_column: str = "vec_id", vector: st
     return vectors.filter(F.coalesce(whole, F.lit(False))).select(F.col(id_column).cast("long").alias("vec_id"), v.alias("x"))
 
 
-def _integers(x: np.ndarray, scale: int) -> np.ndarray:
-    """floor(scale * x): as 64-bit integers where they are small, as Python's beyond that."""
-    scaled = np.floor(x * scale)
-    if not scaled.size or np.abs(scaled).max() < 2**52:
-        return scaled.astype(np.int64)
-    # From 2^53 on a double is an integer, and its multiple might not fit a double.
-    return np.array([[floor(v * scale) if abs(v) < 2**53 else int(v) * scale for v in row] for row in x.tolist()], object)
-
-
 def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) if a.dtype == object else np.einsum("ij,ij->i", a, b)
 
@@ -93,7 +83,7 @@ def _matrices(batches: Iterator[pa.RecordBatch], column: int, width: int, scale:
     for batch in batches:
         if batch.num_rows:
             x = batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            yield batch, _integers(x, scale)
+            yield batch, scaled_integers(x, scale)
 
 
 def _sum(batches: Iterator[pa.RecordBatch], centroids: list[list[int]], scale: int) -> Iterator[pa.RecordBatch]:
@@ -137,7 +127,7 @@ def started(vectors: DataFrame, k: int, scale: int, seed: int) -> list[list[int]
     """The ``k`` vectors of the smallest digests of their ids, the first centroids; vectors without id come last."""
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")).cast("binary"), 256)
     rows = vectors.orderBy(digest.asc_nulls_last(), "x").limit(k).select("x").collect()
-    return [[floor(v * scale) if abs(v) < 2**53 else int(v) * scale for v in r.x] for r in rows]
+    return scaled_integers(np.array([r.x for r in rows], float), scale).tolist()
 
 
 def moved(vectors: DataFrame, centroids: list[list[int]], scale: int) -> list[list[int]]:

@@ -6,6 +6,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from math import floor
 from pathlib import Path
 
 import numpy as np
@@ -71,6 +72,15 @@ def crc_remainder(column: str, divisor: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
+def scaled_integers(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) of a matrix of doubles: as 64-bit integers where all are small, as Python's beyond that."""
+    scaled = np.floor(x * scale)
+    if not scaled.size or np.abs(scaled).max() < 2**52:
+        return scaled.astype(np.int64)
+    # From 2^53 on a double is an integer, and its multiple might not fit a double.
+    return np.array([[floor(v * scale) if abs(v) < 2**53 else int(v) * scale for v in row] for row in x.tolist()], object)
+
+
 def words(text: str | None) -> list[bytes]:
     """Words of a text: runs of lower-cased ASCII letters and digits and of any non-ASCII characters. Null has none."""
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import DOCS, HOSTILE, LONG, lower, words
 
-from mailpolicy.llm import clustering, maxent, queries, resampling
+from mailpolicy.llm import clustering, maxent, queries, resampling, topk
 from mailpolicy.llm.common import crc_remainder, table
 
 SF = "/root/testdata/sf0.001"
@@ -182,6 +182,28 @@ def test_tournament_against_all_distances():
         assert tournament.distances(x, best) == [min(d) for d in all_]
 
 
+# --- 10: components of any size
+
+
+@pytest.mark.parametrize("largest", [30.0, 1e5, 1e12, 1e30])
+def test_topk_of_large_components(spark, largest):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-4, 5, 5) * largest / 4]) for i in range(250)]
+    rows += [(300, [0.001, 0.0, 0.0, 0.0, 0.0]), (301, [0.0] * 5), (302, [-largest, 20000.0, 30000.0, 17000.0, 40000.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = topk.search(vectors, F.col("vec_id") % 100 == 0, block=2).collect()
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    for q in (0, 100, 200, 300):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], w)), i) for i, w in whole.items() if i != q)[:10]
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        assert mine == [(k + 1, i, -s if -(2**63) <= -s < 2**63 else None) for k, (s, i) in enumerate(best)]
+
+
+def test_keys_are_in_the_order_of_scores():
+    scores = sorted({s * (b + d) for s in (1, -1) for b in (0, 255, 256, 65535, 2**62, 2**63, 10**40, 10**80) for d in (0, 1, 7)})
+    assert sorted(scores, key=topk._key) == scores
+
+
 # --- 13
 
 

@@ -67,6 +67,14 @@ def kept(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_remainder(column: str, divisor: int):
     """crc32 of an id written as text, modulo ``divisor``; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor

@@ -40,6 +40,7 @@ class Model:
     axes: np.ndarray  # terms x dimensions
     vectors: np.ndarray  # labelled documents x dimensions, of length 1
     votes: np.ndarray  # for each of them: its label, and what its vote counts
+    base: float  # share of label 1
 
 
 def terms(text: str | None) -> np.ndarray:
@@ -59,7 +60,7 @@ def _shape(text: str, b: np.ndarray) -> np.ndarray:
     w = text.split()
     kinds = np.bincount(_KIND[b], minlength=4)[1:] if len(b) else np.zeros(3)
     again = sum(map(eq, w, w[1:]))
-    shares = [again / max(1, len(w)), 1 - len(set(w)) / max(1, len(w)), *(kinds / max(1, len(b))), text.count("\n") / max(1, len(w))]
+    shares = [again / max(1, len(w)), (len(w) - len(set(w))) / max(1, len(w)), *(kinds / max(1, len(b))), text.count("\n") / max(1, len(w))]
     return SHAPE_WEIGHT * np.log1p(np.array(shares) * 20)
 
 
@@ -81,18 +82,25 @@ def fit(counts: np.ndarray, labels: np.ndarray, class_counts: dict[int, int]) ->
     axes = np.linalg.svd(q.T @ x, full_matrices=False)[2][:k].T.astype(np.float32)
     share = {c: n / sum(class_counts.values()) for c, n in class_counts.items()}
     worth = np.array([share[int(c)] / np.mean(labels == c) for c in labels], np.float32)
-    return Model(weights, np.ascontiguousarray(axes), _unit(x @ axes), np.stack([labels.astype(np.float32), worth], axis=1))
+    return Model(weights, np.ascontiguousarray(axes), _unit(x @ axes), np.stack([labels.astype(np.float32), worth], axis=1), share.get(1, 0.0))
 
 
 def score(counts: np.ndarray, model: Model | None) -> np.ndarray:
-    """Weighted share of label 1 among the nearest neighbours of each row of terms; 0.5 if there was nothing to learn from."""
+    """Weighted share of label 1 among the nearest neighbours of each row of terms; 0.5 if there was nothing to learn from.
+
+    Of neighbours equally near at the border those of smaller doc_id vote. Rows without any terms have no neighbours: their score is the
+    share of label 1 among all labels.
+    """
     if model is None:
         return np.full(len(counts), 0.5)
     cosines = _unit(counts * model.weights @ model.axes) @ model.vectors.T
     k = min(NEIGHBOURS, cosines.shape[1])
-    near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+    border = np.partition(cosines, -k, axis=1)[:, -k, None]
+    better, equal = cosines > border, cosines == border
+    chosen = better | (equal & (np.cumsum(equal, axis=1) <= k - better.sum(axis=1, keepdims=True)))
+    near = np.nonzero(chosen)[1].reshape(len(counts), k)
     w = np.maximum(np.take_along_axis(cosines, near, axis=1), 1e-3).astype(np.float64) ** SHARPNESS * model.votes[near, 1]
-    return (w * model.votes[near, 0]).sum(axis=1) / w.sum(axis=1)
+    return np.where(counts.any(axis=1), (w * model.votes[near, 0]).sum(axis=1) / w.sum(axis=1), model.base)
 
 
 @F.pandas_udf(BinaryType())
@@ -126,8 +134,8 @@ def scorer(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = SAMP
 def scored(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = SAMPLE) -> DataFrame:
     """doc_id and score, 0 to 1, of every row of ``docs``: the higher, the likelier good. Whole texts are read.
 
-    Null, empty and one- or two-byte texts have no terms, so all neighbours are equally far: the first of them vote. Without
-    labelled documents all scores are 0.5. Repeated rows and null doc_ids are scored like others; an empty table gives no rows;
+    Null and empty texts, and others without terms, get the share of label 1 among all labels; of equally near neighbours those of smaller
+    doc_id vote. Without labelled documents all scores are 0.5. Repeated rows and null doc_ids are scored like others; an empty table gives no rows;
     other columns are not looked at. One pass, no shuffle, beside the fit.
     """
     return docs.select("doc_id", scorer(docs, labels, allowed, most)("text").alias("score"))

@@ -3,6 +3,7 @@
 import os
 import shutil
 
+import numpy as np
 import oracle
 import pytest
 from pyspark.sql import functions as F
@@ -61,5 +62,39 @@ def test_pipeline_of_hostile_and_empty_tables(spark, tmp_path):
     assert kept == [1, 0]
 
 
+def test_pipeline_on_extra_columns_and_odd_ids(spark, tmp_path):
+    """Columns of any names stay; a group's row is chosen by row, whatever else the table holds."""
+    for name in ("labels", "benchmark"):
+        shutil.copy(os.path.join(SF, f"{name}.parquet"), tmp_path)
+    x, y = (" ".join(f"{p}{i}" for i in range(70)) for p in "xy")
+    rows = [(5, x), (5, y), (3, y), (None, x + " more"), (None, y), (None, "alone here"), (9, None), (7, x), (8, x), (8, x)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("n", "__id", "__n", "__row", "__number", "__key", "__of", "__spans", "number", "component_id", "fp", "id", "row", "N_"):
+        docs = docs.withColumn(c, F.lit("kept"))
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = corpus_pipeline.kept(stage(spark, now, str(tmp_path)))
+        assert now.columns == docs.columns and now.filter("n <> 'kept' or __id <> 'kept'").count() == 0
+    stays = lambda given: sorted(((r.doc_id, r.text) for r in corpus_pipeline.distinct_documents(spark, given, str(tmp_path)).collect()), key=repr)
+    expected = sorted([(5, x), (3, y), (None, x + " more"), (None, "alone here"), (9, None)], key=repr)
+    assert stays(docs) == expected
+    # rows of another group change nothing
+    more = docs.union(docs.filter("doc_id = 9")).union(docs.filter("doc_id = 9").withColumn("doc_id", F.lit(4)))
+    assert stays(more) == sorted([*[e for e in expected if e[0] != 9], (4, None)], key=repr)
+
+
+def test_quality_of_texts_without_terms_and_of_ties():
+    rng = np.random.default_rng(0)
+    texts = ["".join(rng.choice(list("abcdef ")) for _ in range(60)) for _ in range(40)]
+    labels = np.array([1] * 30 + [0] * 10)
+    model = quality.fit(np.stack([quality.terms(t) for t in texts]), labels, {1: 300, 0: 100})
+    empty = quality.score(np.stack([quality.terms(t) for t in (None, "", "  ", "a")]), model)
+    assert empty.tolist() == [0.75] * 4
+    # twenty equal neighbours: the first fifteen vote
+    counts = np.stack([quality.terms(texts[0])] * 20 + [quality.terms(t) for t in texts])
+    votes = np.array([1] * 15 + [0] * 5 + [0] * 40)
+    assert quality.score(counts[:1], quality.fit(counts, votes, {1: 15, 0: 45}))[0] > 0.999
+
+
 def test_threshold_of_the_stage_is_that_of_the_query():
     assert quality.THRESHOLD == 0.3

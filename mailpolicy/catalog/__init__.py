@@ -4,9 +4,9 @@ Inputs are text lines that Spark derives from the given tables (``fixtures``), r
 builds or parses that text.
 """
 
-from mailpolicy.catalog import curve_queries, log_queries, report_queries, scan_queries, text_queries, typed_queries
+from mailpolicy.catalog import curve_queries, log_queries, report_queries, scan_queries, stored_queries, text_queries, typed_queries
 
-_MODULES = (scan_queries, report_queries, curve_queries, log_queries, text_queries, typed_queries)
+_MODULES = (scan_queries, report_queries, curve_queries, log_queries, text_queries, typed_queries, stored_queries)
 
 
 def queries() -> dict:

@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset and all runs on this machine."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="scratch-")
         spark.sparkContext.setCheckpointDir(given)
     return given.rstrip("/")

@@ -9,7 +9,8 @@ from mailpolicy import sinks
 from mailpolicy.catalog import fixtures, log_queries, report_queries, scan_queries
 from mailpolicy.modes import REFERENCE
 from mailpolicy.operators import curves, deployment
-from mailpolicy.sources import querylog, scans, summary
+from mailpolicy.plans import deployment_report
+from mailpolicy.sources import querylog, scans, snapshots, summary
 
 
 def _folder(spark):
@@ -64,7 +65,34 @@ def _scan_files(spark, sf_dir):
     return found.withColumn("snapshot_date", F.col("snapshot_date").cast("string"))
 
 
+def _snapshots(spark, sf_dir):
+    """Facts of both snapshots, stored by name; the first is stored twice and replaces itself."""
+    store = snapshots.open_store(spark, _folder(spark), REFERENCE, 8)
+    for v, date in ((1, fixtures.FIRST), (2, fixtures.LAST), (1, fixtures.FIRST)):
+        spf, mx = (lines(spark, sf_dir, v).select("value", "snapshot_date") for lines in (fixtures.spf_lines, fixtures.mx_lines))
+        store.write(scans.parse_spf(spf, REFERENCE), scans.parse_mx(mx, REFERENCE), [date])
+    stored = store.summary().where(F.col("tld").isin(*deployment.ZONES))
+    return stored.withColumn("snapshot_date", F.col("snapshot_date").cast("string"))
+
+
+def _incremental(spark, sf_dir):
+    """The report of the first snapshot alone, then of both, which reads the second one's files only."""
+    scanned = []
+    for v, date in ((1, fixtures.FIRST), (2, fixtures.LAST)):
+        paths = [_folder(spark) for _ in range(2)]
+        for lines, path in zip((fixtures.spf_lines, fixtures.mx_lines), paths):
+            lines(spark, sf_dir, v).select("value").write.text(path)
+        scanned.append((date, *paths))
+    out = _folder(spark)
+    for n in (1, 2):
+        deployment_report.run(spark, scanned[:n], out, REFERENCE, deployment.ZONES, incremental=True)
+    stored = summary.read_summary(spark, f"{out}/summary")
+    return stored.withColumn("snapshot_date", F.col("snapshot_date").cast("string"))
+
+
 QUERIES = {
+    "stored_snapshots": _snapshots,
+    "stored_incremental_report": _incremental,
     "stored_summary": _summary,
     "stored_histogram": _histogram,
     "stored_cdf": _cdf,
@@ -73,6 +101,8 @@ QUERIES = {
 }
 
 SQL = {
+    "stored_snapshots": scan_queries.SQL["snapshot_summary_long"],
+    "stored_incremental_report": scan_queries.SQL["snapshot_summary_long"],
     "stored_summary": scan_queries.SQL["snapshot_summary_long"],
     "stored_histogram": report_queries.SQL["lookup_histogram"],
     "stored_cdf": f"""WITH h AS (SELECT lookups, n FROM ({report_queries.SQL['lookup_histogram']}) WHERE series = 'all')

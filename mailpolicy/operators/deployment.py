@@ -21,27 +21,48 @@ _KEY = ["snapshot_date", "name"]
 def summary(spf: DataFrame, mx: DataFrame, mode: str = STRICT, zones: list[str] | None = None) -> DataFrame:
     """Long table ``snapshot_date, tld, metric, n`` over the names that have both a TXT and an MX record.
 
-    Both sides are brought to one row per name before they meet. In reference mode, where each pair of a name's lines
-    and each policy counts (Q4, Q5), the row holds sums and the number of MX lines multiplies them, so no pair is ever
-    formed; in strict mode a name counts once and ``multiple_policies`` is added.
+    Both sides are brought to one row per name before they meet (``policy_facts``, ``mx_facts``), so no pair is ever formed.
     Both sides are partitioned by the join key already, so a merge join moves nothing, and nothing is broadcast on a guess
     about the size of parsed text. ``zones`` limits the top-level domains before anything is shuffled.
     """
     if zones is not None:
         spf, mx = (df.where(tld(F.col("name")).isin(*zones)) for df in (spf, mx))
+    return summary_of_facts(policy_facts(spf, mode), mx_facts(mx, mode), mode)
+
+
+def metrics_of(mode: str) -> list[str]:
+    """Names of the metrics that the facts of a mode hold; strict mode adds ``multiple_policies``."""
+    return METRICS if is_reference(mode) else [*METRICS, _MULTIPLE]
+
+
+def policy_facts(spf: DataFrame, mode: str = STRICT) -> DataFrame:
+    """One row per snapshot and name of a TXT scan.
+
+    In reference mode each policy counts (Q4, Q5), so a row holds a sum for each metric. In strict mode a name either has a
+    metric or not: ``bits`` has a bit for each, which keeps the shuffled row short.
+    """
     per_policy = flags(spf, mode).withColumn("total", F.col("first"))
     if is_reference(mode):
-        metrics = METRICS
-        policies = per_policy.groupBy(*_KEY).agg(*[F.count_if(m).alias(m) for m in metrics])
-        names = mx.groupBy(*_KEY).agg(F.count("*").alias("copies"))
+        return per_policy.groupBy(*_KEY).agg(*[F.count_if(m).alias(m) for m in METRICS])
+    per_policy = per_policy.withColumn(_MULTIPLE, F.col("n_policies") > 1)
+    bits = " | ".join(f"if({m}, {1 << i}, 0)" for i, m in enumerate(metrics_of(mode)))
+    return per_policy.groupBy(*_KEY).agg(F.expr(f"bit_or({bits})").alias("bits"))
+
+
+def mx_facts(mx: DataFrame, mode: str = STRICT) -> DataFrame:
+    """One row per snapshot and name of an MX scan; in reference mode with ``copies``, the number of its lines (Q4)."""
+    return mx.groupBy(*_KEY).agg(F.count("*").alias("copies")) if is_reference(mode) else mx.select(*_KEY).distinct()
+
+
+def summary_of_facts(policies: DataFrame, names: DataFrame, mode: str = STRICT) -> DataFrame:
+    """The long table of ``summary`` from facts, worked out now or stored (``sources.snapshots``), where the join moves nothing.
+
+    In reference mode the number of a name's MX lines multiplies its sums.
+    """
+    metrics = metrics_of(mode)
+    if is_reference(mode):
         counts = {m: F.expr(f"sum({m} * copies)") for m in metrics}
     else:
-        # a name either has a metric or not: one bit each keeps the shuffled row short
-        metrics = [*METRICS, _MULTIPLE]
-        per_policy = per_policy.withColumn(_MULTIPLE, F.col("n_policies") > 1)
-        bits = " | ".join(f"if({m}, {1 << i}, 0)" for i, m in enumerate(metrics))
-        policies = per_policy.groupBy(*_KEY).agg(F.expr(f"bit_or({bits})").alias("bits"))
-        names = mx.select(*_KEY).distinct()
         counts = {m: F.expr(f"count_if(bits & {1 << i} <> 0)") for i, m in enumerate(metrics)}
     wide = (
         policies.join(names.hint("merge"), _KEY)

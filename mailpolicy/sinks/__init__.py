@@ -15,6 +15,11 @@ def write_summary(summary_table: DataFrame, path: str) -> None:
     )
 
 
+def write_multiple_policies(names: DataFrame, path: str) -> None:
+    """Names with several policies, one partition per snapshot; a rerun replaces its own snapshots only."""
+    names.hint("rebalance", "snapshot_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path)
+
+
 def write_wide_summary(wide: DataFrame, path: str) -> None:
     """Wide summary lines, fields separated by a space, snapshots in order (SNK1)."""
     summary_lines(wide.orderBy("snapshot_date")).write.mode("overwrite").text(path)

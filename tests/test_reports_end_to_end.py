@@ -116,3 +116,53 @@ def test_messages_are_written_as_often_as_they_count(spark, lines, tmp_path):
     names = spark.createDataFrame([("a",)] * 2003, "name string")
     sinks.write_messages(reports.restrict(found, names, "reference"), str(tmp_path / "m"))
     assert written(tmp_path / "m") == ['a {"a":["é \'x\'"]}'] * 2003
+
+
+def _scan(folder, date, policies, mx=None):
+    """Writes a TXT and an MX file of a snapshot; ``mx`` are the names with an exchange, by default all."""
+    spf, exchanges = folder / f"txt-{date}", folder / f"mx-{date}"
+    spf.write_text("".join(json.dumps({"name": n, "data": {"answers": [{"type": "TXT", "answer": t} for t in ts]}}) + "\n" for n, *ts in policies))
+    names = [n for n, *_ in policies] if mx is None else mx
+    exchanges.write_text("".join(json.dumps([n, [{"data": {"exchanges": [{"type": "MX", "name": "m"}]}}]]) + "\n" for n in names))
+    return date, str(spf), str(exchanges)
+
+
+def test_incremental_deployment_report(spark, tmp_path, monkeypatch):
+    read = []
+    original = deployment_report.scans.read_spf
+    monkeypatch.setattr(deployment_report.scans, "read_spf", lambda spark, path, date, mode: read.append(date) or original(spark, path, date, mode))
+    snapshots = [
+        _scan(tmp_path, "2021-10-13", [("a.com", "v=spf1 a", "v=spf1 mx"), ("b.com", "v=spf1 mx")]),
+        _scan(tmp_path, "2022-01-01", [("a.com", "v=spf1 a")]),
+        _scan(tmp_path, "2023-03-19", [("a.com", "v=spf1 ptr"), ("c.se", "none")]),
+    ]
+    out = str(tmp_path / "out")
+
+    def run(n=3, **settings):
+        read.clear()
+        tables = deployment_report.run(spark, snapshots[:n], out, incremental=True, **settings)
+        return list(read), tables
+
+    def as_a_whole(tables, **settings):
+        whole = deployment_report.run(spark, snapshots, str(tmp_path / "whole"), **settings)
+        return all(as_set(tables[t]) == as_set(whole[t]) for t in tables) and written(tmp_path / "out" / "summary_wide") == written(tmp_path / "whole" / "summary_wide")
+
+    assert run(2)[0] == ["2021-10-13", "2022-01-01"]
+    fresh, tables = run()  # one has come
+    assert fresh == ["2023-03-19"] and as_a_whole(tables)
+    assert [(str(r.snapshot_date), r.name, r.n_policies) for r in tables["multiple_policies"].collect()] == [("2021-10-13", "a.com", 2)]
+    assert run()[0] == []
+    # One with other lines, one without any, which replaces what was stored of it.
+    _scan(tmp_path, "2022-01-01", [("a.com", "v=spf1 a"), ("d.org", "v=spf1 a")])
+    _scan(tmp_path, "2021-10-13", [])
+    fresh, tables = run()
+    assert fresh == ["2021-10-13", "2022-01-01"] and as_a_whole(tables) and tables["multiple_policies"].count() == 0
+    assert [x.split()[0] for x in written(tmp_path / "out" / "summary_wide")] == ["2022-01-01", "2023-03-19"]
+    # Other settings are other results; a run that was cut short is made up for.
+    fresh, tables = run(mode="reference", zones=["com"])
+    assert fresh == ["2021-10-13", "2022-01-01", "2023-03-19"] and as_a_whole(tables, mode="reference", zones=["com"])
+    deployment_report.inputs.write_marks(spark, {"2023-03-19": "unfinished"}, f"{out}/inputs")
+    assert run(mode="reference", zones=["com"])[0] == ["2023-03-19"]
+    # A run that reads all leaves marks, too.
+    deployment_report.run(spark, snapshots, out)
+    assert run()[0] == []

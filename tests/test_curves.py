@@ -1,7 +1,12 @@
+import math
 import random
+from collections import Counter
+from decimal import Decimal
+from fractions import Fraction
 from itertools import groupby
 
 import pytest
+from pyspark.sql import functions as F
 
 from mailpolicy.operators import curves
 from mailpolicy.sources.counts import include_count_rejects, parse_include_counts, parse_server_counts, read_include_counts, server_count_rejects
@@ -35,9 +40,51 @@ def test_empty_and_zero(spark):
     assert points(curves.cdf(values(spark, [0, 0]), "value", how="total"), "value", "cdf") == [(0, None)]
 
 
-def test_fractions_are_refused(spark):
+def test_texts_are_refused(spark):
     with pytest.raises(TypeError):
-        curves.cdf(spark.createDataFrame([(0.5,)], "value double"), "value")
+        curves.cdf(spark.createDataFrame([("0.5",)], "value string"), "value")
+
+
+_DOUBLES = [0.0, -0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 0.1, 0.5, 1.0, 2.0, 3.0, 1e15 + 0.3, 1.7976931348623157e308, float("inf")]
+
+
+def test_places_rise_with_doubles(spark):
+    rng = random.Random(5)
+    xs = {x for x in _DOUBLES if x < float("inf")} | {rng.uniform(0, 2) * 2.0 ** rng.randint(-1073, 1022) for _ in range(3000)}
+    # Around every power of two, where the logarithm may be rounded to the wrong side.
+    for e in range(-1074, 1024):
+        p = 2.0**e
+        xs |= {p, math.nextafter(p, 0), math.nextafter(p, math.inf)}
+    xs = sorted({s * x for s in (1, -1) for x in (*xs, float("inf"))})
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, value double").select("i", curves._place("double").alias("place"))
+    places = [r.place for r in sorted(rows.collect(), key=lambda r: r.i)]
+    assert all(a <= b for a, b in zip(places, places[1:]))
+    assert max(Counter(places).values()) <= 2 and places[0] == -places[-1] == -(2**63 - 1)
+
+
+@pytest.mark.parametrize("kind", ["double", "float", "decimal(9,2)", "decimal(38,20)"])
+@pytest.mark.parametrize("how", ["freq", "total"])
+def test_real_numbers_match_a_fold(spark, kind, how):
+    rng = random.Random(7)
+    xs = [Decimal(rng.randint(-9999, 99999)) / 100 for _ in range(400)] * 2 + [Decimal(rng.randint(0, 3)) for _ in range(100)]
+    rows = spark.createDataFrame([(str(x),) for x in xs], "value string").select(F.col("value").cast(kind).alias("value"))
+    rows = rows.union(rows.limit(1).select(F.lit(None).cast(kind))).union(rows.limit(1).select(F.lit("NaN" if kind in ("double", "float") else None).cast(kind)))
+    got = [(r.value, r.cum, r.cdf) for r in sorted(curves.cdf(rows, "value", how=how).collect(), key=lambda r: r.value)]
+    held = [r.value for r in rows.collect() if r.value is not None and r.value == r.value]
+    weight = (lambda x: 1) if how == "freq" else (lambda x: Fraction(x))
+    total, cum, i = sum(map(weight, held)), 0, 0
+    for value, n in sorted(Counter(held).items()):
+        cum += weight(value) * n
+        assert got[i][0] == value and float(got[i][1]) == pytest.approx(float(cum), abs=1e-6)
+        assert float(got[i][2]) == pytest.approx(float(cum / total), abs=1e-6)
+        i += 1
+    assert i == len(got)
+    assert dict(curves.cdf(rows, "value").dtypes)["value"] == ("double" if kind == "float" else kind)
+
+
+def test_infinite_doubles_come_last(spark):
+    rows = spark.createDataFrame([(x,) for x in (float("inf"), 1.0, float("-inf"), 1e308)], "value double")
+    assert points(curves.cdf(rows, "value"), "value", "cum") == [(float("-inf"), 1), (1.0, 2), (1e308, 3), (float("inf"), 4)]
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])

@@ -69,6 +69,17 @@ def _message_lines(mode):
     return build
 
 
+def _one_pass_lines(mode):
+    """Lines of the warnings from the rows that serve the tally and both kinds."""
+    def build(spark, sf_dir):
+        parsed = parse_reports(fixtures.customer_report_lines(spark, sf_dir))
+        names = parse_names(fixtures.customer_name_lines(spark, sf_dir), mode)
+        kept = reports.messages_of(reports.restrict(reports.facts_with_messages(parsed, mode), names, mode), "warnings")
+        return sinks.message_lines(kept if mode == REFERENCE else kept.drop("copies"))
+
+    return build
+
+
 def _summary_lines(spark, sf_dir):
     return sinks.summary_lines(deployment.wide(scan_queries.summary(REFERENCE, (1, 2))(spark, sf_dir)))
 
@@ -111,6 +122,8 @@ QUERIES = {
     "two_class_labels_strict": _by_customer(reports.warning_labels, STRICT),
     "warning_lines": _message_lines(REFERENCE),
     "warning_lines_strict": _message_lines(STRICT),
+    "warning_lines_of_one_pass": _one_pass_lines(REFERENCE),
+    "warning_lines_of_one_pass_strict": _one_pass_lines(STRICT),
     "summary_lines": _summary_lines,
     "server_total_lines": _server_lines,
     "log_parse_until": lambda spark, sf: querylog.parse_log(fixtures.log_lines_dated(spark, sf), _UNTIL).select("e"),
@@ -211,6 +224,8 @@ SQL = {
     "two_class_labels_strict": f"{_kept_sql(STRICT)} SELECT 'Missing TXT' AS label, COUNT(*) AS n FROM r HAVING COUNT(*) > 0",
     "warning_lines": _lines_sql(REFERENCE),
     "warning_lines_strict": _lines_sql(STRICT),
+    "warning_lines_of_one_pass": _lines_sql(REFERENCE),
+    "warning_lines_of_one_pass_strict": _lines_sql(STRICT),
     "summary_lines": f"""SELECT concat_ws(' ', snapshot_date, joined, {', '.join(f'{m}_{z}' for m in deployment.METRICS for z in deployment.ZONES)}) AS value
         FROM ({scan_queries.SQL["snapshot_summary_wide"]})""",
     "server_total_lines": f"SELECT concat_ws(' ', server_id, max_total, void_total) AS value FROM ({log_queries.SQL['server_max_totals']})",

@@ -12,8 +12,8 @@ LOOKUP_LIMIT = 10
 COUNTERS = ["not_deployed", "nonexistent_name", "name_server_failure", "multiple_policies", "over_lookup_limit"]
 
 
-def facts(reports: DataFrame, mode: str = STRICT) -> DataFrame:
-    """What every later count needs of a report, one narrow row each.
+def facts(reports: DataFrame, mode: str = STRICT, *more: Column) -> DataFrame:
+    """What every later count needs of a report, one narrow row each, and columns of one's own.
 
     ``query, line_id, outcome, lookups, include_series, error_classes, warning_classes, missing_address``. The class
     arrays are null for a report that has no expanded map, or an entry of it without such messages.
@@ -27,6 +27,7 @@ def facts(reports: DataFrame, mode: str = STRICT) -> DataFrame:
         msg.error_classes(_all_messages("errors"), mode).alias("error_classes"),
         msg.warning_classes(_all_messages("warnings"), mode).alias("warning_classes"),
         _missing_address(mode).alias("missing_address"),
+        *more,
     )
 
 
@@ -126,12 +127,37 @@ def messages(reports: DataFrame, kind: str) -> DataFrame:
     ``kind`` is ``errors`` or ``warnings``; reports with an entry that lacks the kind are left out. ``domains`` is an
     array so that rows can be made distinct by ``restrict``.
     """
-    entries = F.transform(
+    parsed = select_once(reports, _domains=_domains(kind)).select("query", "line_id", _if_complete("_domains").alias("domains"))
+    return parsed.where(F.col("domains").isNotNull())
+
+
+KINDS = ("errors", "warnings")
+
+
+def facts_with_messages(reports: DataFrame, mode: str = STRICT) -> DataFrame:
+    """``facts``, and the ``domains`` of ``messages`` of both kinds as ``errors`` and ``warnings``, null for reports that ``messages`` leaves out.
+
+    One parse serves the tally and both kinds of lines; ``messages_of`` takes the rows of a kind from what is stored of it.
+    """
+    parsed = select_once(reports, **{f"_{kind}": _domains(kind) for kind in KINDS})
+    return facts(parsed, mode, *[_if_complete(f"_{kind}").alias(kind) for kind in KINDS])
+
+
+def messages_of(per_report: DataFrame, kind: str) -> DataFrame:
+    """Rows of ``messages``, with ``copies`` where there is such a column, from ``facts_with_messages``."""
+    carried = [c for c in ("query", "line_id", "copies") if c in per_report.columns]
+    return per_report.where(F.col(kind).isNotNull()).select(*carried, F.col(kind).alias("domains"))
+
+
+def _domains(kind: str) -> Column:
+    return F.transform(
         "expanded", lambda e: F.struct(e["domain"].alias("domain"), js.texts(js.field(e["entry"], kind)).alias("messages"))
     )
-    parsed = select_once(reports, _domains=entries)
-    complete = F.forall("_domains", lambda d: d["messages"].isNotNull())
-    return parsed.where(complete).select("query", "line_id", F.col("_domains").alias("domains"))
+
+
+def _if_complete(domains: str) -> Column:
+    """The array, null where an entry lacks the kind."""
+    return F.when(F.forall(domains, lambda d: d["messages"].isNotNull()), F.col(domains))
 
 
 def message_rows(per_report: DataFrame) -> DataFrame:

@@ -18,10 +18,17 @@ def run(
 ) -> dict[str, DataFrame]:
     """One pass over the reports fills ``out/tally``; everything else is read back from that small table.
 
-    ``write_messages`` also writes the per-report message maps, which takes a pass of its own for each kind.
+    ``write_messages`` also writes the per-report message maps. Then the pass fills ``out/reports``, a row for each report that counts with what is
+    asked of it and its messages; tally and lines read their columns of it.
     """
     parsed, names = read_reports(spark, report_paths), read_names(spark, name_paths, mode)
-    counted = reports.tally(reports.restrict(reports.facts(parsed, mode), names, mode))
+    if write_messages:
+        counting = reports.restrict(reports.facts_with_messages(parsed, mode), names, mode)
+        counting.write.mode("overwrite").parquet(f"{out}/reports")
+        counting = spark.read.schema(counting.schema).parquet(f"{out}/reports")
+    else:
+        counting = reports.restrict(reports.facts(parsed, mode), names, mode)
+    counted = reports.tally(counting)
     counted.write.mode("overwrite").partitionBy("section").parquet(f"{out}/tally")
     stored = spark.read.schema("item string, n bigint, section string").parquet(f"{out}/tally")
 
@@ -33,9 +40,8 @@ def run(
     for series in ("include_absent", "include_present"):
         sinks.write_cdf(curve.where(F.col("series") == series), f"{out}/cdf_{series}")
     if write_messages:
-        for kind in ("errors", "warnings"):
-            found = reports.messages(read_reports(spark, report_paths), kind)
-            kept = reports.restrict(found, names, mode)
+        for kind in reports.KINDS:
+            kept = reports.messages_of(counting, kind)
             # In strict mode each report is one line: without the column nothing is spread, so no further shuffle.
             sinks.write_messages(kept if is_reference(mode) else kept.drop("copies"), f"{out}/{kind}")
 

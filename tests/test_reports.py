@@ -264,3 +264,20 @@ def test_messages_parse_no_other_fields(spark, lines):
     assert "softfail" not in found._jdf.queryExecution().toString() and "warnings" not in found._jdf.queryExecution().toString()
     assert as_set(reports.message_rows(found)) == {("a", "a", "x")}
     assert as_set(report_rejects(lines(text, "{broken", "{}"))) == {("{broken",), ("{}",)}
+
+
+@pytest.mark.parametrize("mode", ["strict", "reference"])
+def test_messages_of_one_pass(spark, lines, mode):
+    """Tally and messages of both kinds are those of passes of their own, for reports with and without entries, kinds and copies."""
+    texts = [
+        line("a", entry(errors=["e1", "e2"], warnings=["w"])), line("a", entry(errors=["e1", "e2"], warnings=["w"])),
+        line("b", entry(errors=[])), line("c"), line("c", lookups=11), line("d", entry(warnings=["w1", "w2"])), line("a", error="No TXT record found"),
+        json.dumps({"query": "e", "expanded": {"x": {"errors": ["e"]}, "y": {"warnings": ["w"]}}}),
+    ]
+    parsed, names = parse_reports(lines(*texts)), parse_names(lines("a.", "a.", "b.", "c.", "e."), mode)
+    both = reports.restrict(reports.facts_with_messages(parsed, mode), names, mode)
+    assert as_set(reports.tally(both)) == as_set(reports.tally(reports.restrict(reports.facts(parsed, mode), names, mode)))
+    for kind in reports.KINDS:
+        own = reports.restrict(reports.messages(parsed, kind), names, mode)
+        rows = [sorted(map(str, df.select("query", "domains", "copies").collect())) for df in (reports.messages_of(both, kind), own)]
+        assert rows[0] == rows[1] and rows[0]

@@ -49,7 +49,9 @@ def test_deployment_report(spark, tmp_path):
     assert lines[0].split()[1:10] == ["3", "2", "0", "0", "1", "2", "0", "0", "0"]
 
 
-def test_evaluation_report(spark, tmp_path):
+def test_evaluation_report(spark, tmp_path, monkeypatch):
+    scans, read = [], evaluation_report.read_reports
+    monkeypatch.setattr(evaluation_report, "read_reports", lambda *a: scans.append(a) or read(*a))
     texts = [
         line("a.com", entry(errors=["Invalid IP 'x'"], spf="v=spf1 include:y"), lookups=12),
         line("b.com", entry(warnings=["No MX record for domain 'b.com'"]), lookups=3),
@@ -71,6 +73,7 @@ def test_evaluation_report(spark, tmp_path):
     assert written(out / "cdf_include_absent") == ["3 1.0"]
     found = dict(x.split(" ", 1) for x in written(out / "errors"))
     assert {q: json.loads(m) for q, m in found.items()} == {"a.com": {"a.com": ["Invalid IP 'x'"]}, "b.com": {"b.com": []}}
+    assert len(scans) == 1
 
 
 def test_concentration_report(spark, tmp_path):

@@ -22,36 +22,60 @@ def _said(name: str):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def _digests(turns: DataFrame) -> list:
+    parts = [F.length(_said("role")), _said("role"), _said("text")]  # with the length, no two pairs read alike
+    return [_digest(s, *parts).alias(f"t{s}") for s in (1, 2)]
+
+
+def _line(role, text):
+    return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), text, F.lit("<|im_end|>\n"))
+
+
 def collapsed(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_equal of the conversations that stay. n_equal: conversations with just these turns, itself included."""
-    parts = [F.length(_said("role")), _said("role"), _said("text")]  # with the length, no two pairs read alike
-    digests = turns.select("conv_id", "turn", _said("role").alias("role"), *(_digest(s, *parts).alias(f"t{s}") for s in (1, 2)))
+    return _collapsed(turns).select("conv_id", "n_turns", "n_equal")
+
+
+def _nameless(turns: DataFrame) -> DataFrame:
+    """Rows of a null conv_id, each as the only turn of a conversation of its own: n, p1, p2 as of prefixes, and the row's line."""
+    rows = turns.filter(F.col("conv_id").isNull())
+    alone = rows.select("conv_id", F.lit(1).cast("long").alias("n"), *_digests(rows), _line(_said("role"), _said("text")).alias("line"))
+    return alone.select("conv_id", "n", *(_digest(s, "n", "t1", "t2").alias(f"p{s}") for s in (1, 2)), "line")
+
+
+def _collapsed(turns: DataFrame) -> DataFrame:
+    """``collapsed`` with the digest of all turns, p1 and p2."""
+    named = turns.filter(F.col("conv_id").isNotNull())
+    digests = named.select("conv_id", "turn", _said("role").alias("role"), *_digests(named))
     mine = digests.repartition("conv_id").dropDuplicates(["conv_id", "turn", "role", "t1", "t2"])
     by_turn = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "t1", "t2")
     numbered = mine.withColumn("n", F.row_number().over(by_turn).cast("long"))
     so_far = by_turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prefixes = numbered.select("conv_id", "n", *(F.bit_xor(_digest(s, "n", "t1", "t2")).over(so_far).alias(f"p{s}") for s in (1, 2)))
     prefixes = prefixes.withColumn("last", F.lead("n").over(Window.partitionBy("conv_id").orderBy("n")).isNull())
-    prefixes = kept(prefixes, "prefixes")
+    alone = _nameless(turns).select("conv_id", "n", "p1", "p2", F.lit(True).alias("last"))
+    prefixes = kept(prefixes.unionByName(alone), "prefixes")
     key = ["n", "p1", "p2"]
     whole = prefixes.filter("last").groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_equal"))
     inner = prefixes.filter("not last").select(*key).distinct()
-    return whole.join(inner, key, "left_anti").select("conv_id", F.col("n").alias("n_turns"), "n_equal")
+    return whole.join(inner, key, "left_anti").select("conv_id", F.col("n").alias("n_turns"), "n_equal", "p1", "p2")
 
 
 def rendered(turns: DataFrame, collapse: bool = True) -> DataFrame:
     """conv_id, n_turns, n_equal, text: conversations that are no prefix of another, as ChatML.
 
     Turns are taken in the order of (turn, role, text), null turn numbers first; a row that repeats another one of its conversation
-    counts once. Null roles and texts are empty. Rows of a null conv_id are one conversation, of null id; among equal conversations an id
-    goes before null. An empty table gives no rows; other columns are not looked at.
+    counts once. Null roles and texts are empty. Each row of a null conv_id is a conversation of its own, of one turn and of null id; among
+    equal conversations an id goes before null. An empty table gives no rows; other columns are not looked at.
     """
-    stay = kept(collapsed(turns), "stay")
-    key = F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.col("conv_id").isNull()
+    stay = kept(_collapsed(turns), "stay")
+    named = stay.filter(F.col("conv_id").isNotNull())
     mine = turns.select("conv_id", "turn", _said("role").alias("role"), _said("text").alias("text"))
-    wanted = mine.join(stay.select(F.col("conv_id").alias("stays")), F.col("conv_id").eqNullSafe(F.col("stays")), "left_semi")
+    wanted = mine.join(named.select(F.col("conv_id").alias("stays")), F.col("conv_id") == F.col("stays"), "left_semi")
     turn = F.struct(F.col("turn").isNotNull().alias("has"), "turn", "role", _digest(1, F.length("role"), "role", "text").alias("t1"), _digest(2, F.length("role"), "role", "text").alias("t2"), "text")
     ordered = F.array_sort(F.collect_set(turn))
-    line = F.transform(ordered, lambda t: F.concat(F.lit("<|im_start|>"), t.role, F.lit("\n"), t.text, F.lit("<|im_end|>\n")))
-    texts = wanted.groupBy(*(k.alias(f"k{i}") for i, k in enumerate(key))).agg(F.min("conv_id").alias("conv"), F.array_join(line, "").alias("text"))
-    return stay.join(texts, F.col("conv_id").eqNullSafe(F.col("conv"))).select("conv_id", "n_turns", "n_equal", "text")
+    texts = wanted.groupBy(F.col("conv_id").alias("conv")).agg(F.array_join(F.transform(ordered, lambda t: _line(t.role, t.text)), "").alias("text"))
+    of_named = named.join(texts, F.col("conv_id") == F.col("conv")).select("conv_id", "n_turns", "n_equal", "text")
+    lines = _nameless(turns).groupBy("p1", "p2").agg(F.min("line").alias("text"))
+    alone = stay.filter(F.col("conv_id").isNull()).join(lines, ["p1", "p2"]).select("conv_id", "n_turns", "n_equal", "text")
+    return of_named.union(alone)

@@ -127,11 +127,11 @@ SQL = {
         FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
     "op6_chat": """
         WITH turn AS (
-            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n,
+            SELECT conv_id, alone, row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn) AS n,
                 '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS t
-            FROM conversations),
+            FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations)),
         prefix AS (
-            SELECT conv_id, n, string_agg(t, '') OVER (PARTITION BY conv_id ORDER BY n) AS text, n = max(n) OVER (PARTITION BY conv_id) AS whole
+            SELECT conv_id, n, string_agg(t, '') OVER (PARTITION BY conv_id, alone ORDER BY n) AS text, n = max(n) OVER (PARTITION BY conv_id, alone) AS whole
             FROM turn),
         stay AS (SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS n_equal, text FROM prefix WHERE whole GROUP BY n, text)
         SELECT conv_id, n_turns, n_equal, text FROM stay

@@ -322,6 +322,14 @@ def test_chat_collapse(spark):
     assert chat.rendered(turns.limit(0)).count() == 0
 
 
+def test_chat_rows_without_a_conversation(spark):
+    """Each is a conversation of one turn: it falls to a longer one, counts with equal ones, and is a row of null id where there is no other."""
+    rows = [(1, 0, "u", "a"), (1, 1, "b", "x"), (2, 3, "u", "c"), *[(None, t, "u", x) for t, x in ((0, "a"), (1, "c"), (9, "d"), (9, "d"), (None, "e"), (4, None))]]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(((r.conv_id, r.n_turns, r.n_equal, r.text.count("<|im_start|>"), r.text.split("\n")[1]) for r in chat.rendered(turns).collect()), key=str)
+    assert got == sorted([(1, 2, 1, 2, "a<|im_end|>"), (2, 1, 2, 1, "c<|im_end|>"), (None, 1, 2, 1, "d<|im_end|>"), (None, 1, 1, 1, "e<|im_end|>"), (None, 1, 1, 1, "<|im_end|>")], key=str)
+
+
 def test_chat_runs_no_python(spark):
     plan = chat.rendered(table(spark, SF, "conversations"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -188,6 +188,16 @@ def test_wavelet_files(spark, hostile, empty, given, tmp_path):
     assert wavelet.round_trip(empty, path, "kept").count() == 0
 
 
+def test_pieces_are_remembered_between_writing_tasks():
+    known = tokens.Encoder(ids_of.__globals__["public_tokenizers"].path("byte_bpe_50k.json"), "kept")
+    texts = [" ".join(f"word{i} letters" for i in range(j, j + 40)) for j in range(0, 200, 40)]
+    first = list(known.encode_all(texts))
+    n = len(known)
+    known.settle(n - 1)
+    assert len(known) == n - 1 and list(known.encode_all(texts)) == first
+    assert wavelet.REMEMBERED > tokens.FREQUENT
+
+
 @pytest.mark.parametrize("n, top", [(0, 5), (1, 1), (63, 9), (64, 2), (5000, 300), (5000, 70_000)])
 def test_wavelet_answers(n, top):
     ids = np.random.default_rng(n).integers(0, top, n).astype("<u4")
@@ -447,6 +457,16 @@ def test_repeats_in_a_crowd_that_shares_their_boilerplate(spark):
     assert {(1000 + k, 2000 + (k * 7) % 60) for k in range(60)} <= found
 
 
+def test_all_pairs_of_near_copies_are_linked(spark):
+    """Each text has a word of its own in the same passage, so all are different; an equal text is a copy of the first one with it."""
+    word = [f"b{i}" for i in range(220)]
+    texts = [(i, " ".join([*(f"s{i}x{j}" for j in range(20)), *word[: 20 + 30 * i], f"own{i}", *word[21 + 30 * i :], *(f"e{i}x{j}" for j in range(20))])) for i in range(6)]
+    texts.append((9, texts[4][1]))
+    found = substring.repeated_passages(spark.createDataFrame(texts, DOCS)).collect()
+    assert {(r.keeper_id, r.doc_id) for r in found} == {(i, j) for i in range(6) for j in range(i + 1, 6)} | {(4, 9)}
+    assert [(r.first_word, r.end_word, r.similarity) for r in found if r.doc_id == 9] == [(0, 260, 1.0)]
+
+
 def test_near_copy_whose_middle_stands_earlier_too(spark):
     """A repeated line lies between two parts under 50 words; the keeper has it earlier, alike or with a longer run."""
     first, line, second = ([f"{c}{i}" for i in range(n)] for c, n in (("f", 45), ("l", 8), ("s", 45)))

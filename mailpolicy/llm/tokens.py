@@ -6,7 +6,7 @@ import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 
@@ -18,11 +18,24 @@ _KEPT = re.compile(rf"\s*[{_LETTERS}]+(?=[\s.,]|\Z)|\s*\S+|\s+")
 #: White space to Python, but not to tokenizers.
 _ODD = re.compile("[\x1c-\x1f]")
 
+#: A stop or comma behind anything but a letter or digit.
+_LONE = re.compile(rf"[.,](?<![{_LETTERS}0-9].)", re.DOTALL)
+#: White space other than spaces and line ends, and the sign that cuts.
+_OTHER = re.compile("[\0\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _kept_pieces(text: str) -> list[str]:
+    # Most texts can be cut by their single signs, which takes less time.
+    if not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or _OTHER.search(text) or _LONE.search(text)):
+        return text.replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
+    return [text] if _ODD.search(text) else _KEPT.findall(text)
+
+
 #: Where a text may be cut so that the pieces' ids, put together, are the text's. The first serves tokenizers that drop white space
 #: between words, the second those whose words take one space before them along.
 CUTS: dict[str, Callable[[str], list[str]]] = {
     "dropped": lambda text: _STOP.sub(" ", text).replace("\n", " ").split(" "),
-    "kept": lambda text: [text] if _ODD.search(text) else _KEPT.findall(text),
+    "kept": _kept_pieces,
     "none": lambda text: [text],
 }
 
@@ -91,18 +104,18 @@ class Encoder(dict):
                 held, n = [], 0
         yield from self._joined(held)
 
-    def settle(self) -> None:
+    def settle(self, most: int = FREQUENT) -> None:
         """At a task's end: the worker may live on for other work, so only what came first, mostly what is frequent, stays."""
         self.old = {}
-        first = dict(islice(self.items(), FREQUENT))
+        first = dict(islice(self.items(), most))
         self.clear()
         self.update(first)
 
     def _joined(self, held: list[list[str]]) -> Iterator[bytes]:
         if self.cut is not CUTS["none"]:
             pieces = set(chain.from_iterable(held))
-            known = self.keys() if len(self) + len(pieces) <= self.most else ()
-            fresh = [x for x in pieces if x not in known and 0 < len(x) <= 64]
+            new = filterfalse(self.__contains__, pieces) if len(self) + len(pieces) <= self.most else pieces
+            fresh = [x for x in new if 0 < len(x) <= 64]
             if fresh:
                 self._learn(fresh)
         for pieces in held:

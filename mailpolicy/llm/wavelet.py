@@ -28,6 +28,8 @@ from mailpolicy.llm.tokens import encoder
 
 MAGIC, SUFFIX = b"WAVEMAT1", ".wavemat"
 SHARD_TOKENS = 1 << 20
+#: Pieces that a worker keeps in mind between the tasks that write.
+REMEMBERED = 400_000
 _BLOCK = 8  # words to an entry of the directory
 
 
@@ -53,10 +55,8 @@ class Wavelet:
             words.append(w)
             ones.append(np.r_[0, np.cumsum(sums)].astype("<u4"))
             zeros.append(int(len(x) - ones[-1][-1]))
-            y = np.empty_like(x)
-            np.compress(~bit, x, out=y[: zeros[-1]])
-            np.compress(bit, x, out=y[zeros[-1] :])
-            x = y
+            # By places: dealing by them takes less time than by the bits.
+            x = np.concatenate([x.take(np.flatnonzero(~bit)), x.take(np.flatnonzero(bit))])
         return cls(len(ids), zeros, words, ones)
 
     def _ones(self, level: int, i: int) -> int:
@@ -127,8 +127,8 @@ class Wavelet:
             bit = np.unpackbits(self.words[level].view(np.uint8), count=self.n, bitorder="little").view(bool)
             y, x = x, np.empty_like(x)
             y[self.zeros[level] :] |= x.dtype.type(1 << shift)
-            np.place(x, ~bit, y[: self.zeros[level]])
-            np.place(x, bit, y[self.zeros[level] :])
+            x[np.flatnonzero(~bit)] = y[: self.zeros[level]]
+            x[np.flatnonzero(bit)] = y[self.zeros[level] :]
         return x.astype("<u4")
 
 
@@ -192,7 +192,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, cut: str,
                 parts, doc_ids, counts, number, held = [], [], [], number + 1, 0
     if parts:
         yield flush()
-    known.settle()
+    known.settle(REMEMBERED)
 
 
 def write(docs: DataFrame, folder: str, path: str, cut: str = "none", end_id: int = 2, shard: int = SHARD_TOKENS) -> DataFrame:

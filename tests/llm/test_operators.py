@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips, and small hostile inputs."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -70,6 +71,16 @@ def test_tokens_equal_those_of_whole_texts(name, cut, given):
         assert np.frombuffer(ids, "<u4").tolist() == whole(text), text and text[:40]
 
 
+@pytest.mark.parametrize("name, cut", [("word_bpe_49k.json", "dropped"), ("byte_bpe_50k.json", "kept")])
+def test_plain_pieces_by_the_model_alone_equal_those_of_whole_texts(name, cut):
+    encoder, whole = tokens.Encoder(public_tokenizers.path(name), cut), ids_of(name)
+    parts = ["a", "Zebra", "İ", "Ⱥ", "é", "ß", "1", "²", ".", ",", "'", "'s", "!", "$$", "-", "\u0301", "日本", " ", " ", "\n", "\t", "\xa0", "\u2028", "<|endoftext|>"]
+    texts = ["İ.", "Ⱥ! Ⱥ.", "word$$$\nWord## x\n$$", "naïve!! ÀÖØöø.", "3.14, a.b 1,,2", *("".join(p) for p in itertools.product(parts, repeat=3))]
+    for text, ids in zip(texts, encoder.encode_all(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == whole(text), text
+    assert encoder.bare is not None and encoder.plain("Zebra$$" if cut == "dropped" else " Zebra$$")
+
+
 # --- 1, 2: classifiers
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from mailpolicy.llm import chat, decontamination, licenses, packing, quality, queries, simhash, substring, tokens, topk, toxicity, wavelet
-from mailpolicy.llm.common import crc_remainder, table
+from mailpolicy.llm.common import crc_remainder, mixed, table
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i % 977} x{i % 31}" for i in range(30_000))
@@ -478,6 +478,59 @@ def test_all_pairs_of_near_copies_are_linked(spark):
     assert [(r.first_word, r.end_word, r.similarity) for r in found if r.doc_id == 9] == [(0, 260, 1.0)]
 
 
+@pytest.mark.parametrize("n, top, least", [(5, 9, 6), (6, 9, 6), (200, 10**9, 20), (200, 5, 20), (90, 2, 7)])
+def test_hashes_of_rows_are_those_of_the_compact_windows(n, top, least):
+    x = np.random.default_rng(n).integers(0, top, n).astype(np.uint64)
+    for f in range(2):
+        salted = mixed(x + np.uint64((f + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        c, first, last = substring.compact_windows(salted, least)
+        h = substring.window_hashes(x, least, f)
+        assert set(h.tolist()) == {int(v) & ~15 | f for v in salted[c]} and len(h) == max(0, n - least + 1)
+
+
+def test_what_is_left_out_has_no_passage():
+    """Two texts that share only common tokens and have a passage are both mostly common; a text as a whole is alike enough, too."""
+    found = 0
+    for seed in range(300):
+        rng = np.random.default_rng(seed)
+        a, b = (rng.integers(1000, 1000 + rng.choice([40, 10**6]), 120).astype("<i4") for _ in "ab")
+        common = np.arange(60, dtype="<i4")
+        n = rng.integers(12, 60)
+        for x in (a, b):
+            at = rng.integers(0, 60)
+            x[at : at + n] = common[:n]
+            x[at + rng.integers(0, n, rng.integers(0, 8))] = rng.integers(10**7, 10**8)
+        once = [np.unique(x, return_counts=True) for x in (a, b)]
+        once = [many[np.searchsorted(kinds, x)] == 1 for x, (kinds, many) in zip((a, b), once)]
+        if substring.passages(a.view("<u4"), b.view("<u4"), [(0, 119)], 20, 0.8):
+            found += 1
+            shared = np.intersect1d(a, b)
+            assert all(substring.mostly_common(x, shared, np.empty(0, np.int64), 20, 0.8) == (True, True) for x in (a, b))
+            assert substring._alike(a, np.unique(b), once[0], 20, 0.8) and substring._alike(b, np.unique(a), once[1], 20, 0.8)
+    assert 50 < found < 250
+
+
+def test_texts_that_share_one_line_are_not_paired(spark, monkeypatch):
+    """A line of 30 words stands in all texts; pairs of them are not verified but for the one that shares more."""
+    rng = np.random.default_rng(8)
+    line, more = _passage(rng, 30), _passage(rng, 60)
+    texts = [(i, " ".join([*_passage(rng, 80), *line, *(more if i in (7, 31) else ()), *_passage(rng, 40)])) for i in range(150)]
+    made, keep = {}, substring.kept
+    monkeypatch.setattr(substring, "kept", lambda df, name="table": made.setdefault(name, keep(df, name)))
+    found = substring.repeated_passages(spark.createDataFrame(texts, DOCS)).collect()
+    assert {(r.keeper_id, r.doc_id) for r in found} == {(7, 31)}
+    assert made["standing"].count() > 150 and made["pairs"].count() < 1000
+
+
+def test_rows_of_a_class_do_not_count_again():
+    """Common tokens in known rows make a text mostly common, but not alone; more common tokens around them do."""
+    x = np.arange(200, dtype="<i4")
+    known = substring._row_hashes(x.view("<u4"), 20).view(np.int64)[50:61]
+    assert substring.mostly_common(x, x[50:80], known, 20, 0.8) == (True, False)
+    assert substring.mostly_common(x, x[50:82], known, 20, 0.8) == (True, True)
+    assert substring.mostly_common(x, x[50:65], known, 20, 0.8) == (False, False)
+
+
 def test_near_copy_whose_middle_stands_earlier_too(spark):
     """A repeated line lies between two parts under 50 words; the keeper has it earlier, alike or with a longer run."""
     first, line, second = ([f"{c}{i}" for i in range(n)] for c, n in (("f", 45), ("l", 8), ("s", 45)))

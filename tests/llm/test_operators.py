@@ -8,12 +8,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from mailpolicy.llm import chat, decontamination, licenses, packing, quality, queries, simhash, substring, tokens, topk, toxicity, wavelet
+from mailpolicy.llm import chat, crowds, decontamination, licenses, packing, quality, queries, simhash, substring, tokens, topk, toxicity, wavelet
 from mailpolicy.llm.common import crc_remainder, mixed, table
 
 SF = "/root/testdata/sf0.001"
@@ -522,6 +523,50 @@ def test_texts_that_share_one_line_are_not_paired(spark, monkeypatch):
     assert made["standing"].count() > 150 and made["pairs"].count() < 1000
 
 
+@pytest.mark.parametrize("kinds, changes, least", [(10**6, 12, 46), (10**6, 3, 20), (300, 25, 20), (30, 15, 12), (3, 5, 10)])
+def test_passages_with_a_crowd_are_those_of_each_pair(kinds, changes, least):
+    """Edited copies with repeated lines and moved parts, short and empty texts and one that is no copy."""
+    found = 0
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        one = rng.integers(0, kinds, 260).astype("<u4")
+        one[150:180] = one[20:50]
+        texts = [np.empty(0, "<u4"), one[: least - 1], one, rng.integers(0, kinds, 200).astype("<u4")]
+        for _ in range(10):
+            x = np.roll(one, rng.integers(0, 200)) if rng.random() < 0.3 else one.copy()
+            x[rng.integers(0, 260, rng.integers(0, changes))] = rng.integers(0, 2 * kinds, 1)
+            texts.append(np.delete(x[rng.integers(0, 60) :], rng.integers(0, 190, rng.integers(0, 6))))
+        crowd = crowds.Crowd(texts)
+        for i, y in enumerate(texts):
+            others = [k for k in range(len(texts)) if k != i]
+            mine = dict(crowd.passages(i, others, least, 0.8))
+            for k, other in enumerate(others):
+                expected = substring.passages(y, texts[other], [(0, len(y) - 1)], least, 0.8)
+                found += len(expected)
+                assert sorted(mine.get(k, [])) == sorted(expected)
+    assert found > 100
+
+
+def test_pairs_of_a_family_are_verified_together(tmp_path, monkeypatch):
+    """No pair of 40 edited copies is compared by itself, but for two texts of one word."""
+    rng = np.random.default_rng(4)
+    one, texts = _passage(rng, 300), []
+    for i in range(40):
+        w = list(one)
+        for at in rng.integers(0, 300, 8).tolist():
+            w[at] = f"own{i}"
+        texts.append(" ".join(w))
+    texts += [" ".join(["the"] * n) for n in (1500, 1600)]
+    folder = tmp_path.as_uri()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(42)), pa.array(texts)], names=["doc_id", "text"])
+    places = {r["doc_id"]: r for b in substring._windows(iter([batch]), folder, 46, 4) for r in b.to_pylist()}
+    pairs = [{"block": hi < 40, "lo": lo, "hi": hi} | {f"{s}_{c}": places[d][c] for s, d in (("lo", lo), ("hi", hi)) for c in ("file", "at", "size")} for hi in range(42) for lo in range(hi) if (hi < 40) == (lo < 40)]
+    alone, passages = [], substring.passages
+    monkeypatch.setattr(substring, "passages", lambda *a: alone.append(len(a[0])) or passages(*a))
+    found = [r for b in substring._verify(iter([pa.RecordBatch.from_pylist(pairs)]), folder, pa.int64(), 46, 0.8) for r in b.to_pylist()]
+    assert alone == [1596] and {(r["keeper_id"], r["doc_id"]) for r in found} == {(p["lo"], p["hi"]) for p in pairs}
+
+
 def test_rows_of_a_class_do_not_count_again():
     """Common tokens in known rows make a text mostly common, but not alone; more common tokens around them do."""
     x = np.arange(200, dtype="<i4")
